@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pentad.llm.common import table
 from pentad.llm.license_scan import license_scan
 from pentad.llm.mixing import mix
+from pentad.llm.multi_index import multi_index_search
 from pentad.llm.pivot_topk import pivot_topk
 from pentad.llm.simhash import simhash_groups
+from pentad.llm.toxicity import toxicity
 
 
 def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,15 +28,25 @@ def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_topk": op2_pivot_topk,
     "op3_license_scan": op3_license_scan,
     "op4_pivotal_mix": op4_pivotal_mix,
+    "op6_multi_index": op6_multi_index,
     "op8_simhash": op8_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
