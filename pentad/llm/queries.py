@@ -12,10 +12,15 @@ from pentad.llm.license_scan import license_scan
 from pentad.llm.mixing import mix
 from pentad.llm.multi_index import multi_index_search
 from pentad.llm.pivot_topk import pivot_topk
+from pentad.llm.quote_links import link_quotes
 from pentad.llm.simhash import simhash_groups
 from pentad.llm.toxicity import toxicity
 
 
+def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -41,6 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quote_links": op1_quote_links,
     "op2_pivot_topk": op2_pivot_topk,
     "op3_license_scan": op3_license_scan,
     "op4_pivotal_mix": op4_pivotal_mix,
@@ -50,6 +56,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quote_links": r"""
+        WITH RECURSIVE m AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS text, coalesce(conv_id::VARCHAR, 'null') AS conv,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) - 1 AS seq
+            FROM conversations
+        ), s AS (
+            SELECT conv, seq, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS lines FROM m
+        ), l AS (
+            SELECT conv, seq, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM s
+        ), p AS (
+            SELECT *, length(regexp_replace(regexp_extract(line, '^([ \t]*>)+'), '[^>]', '', 'g')) AS level,
+                   regexp_replace(line, '^([ \t]*>)+', '') AS body FROM l
+        ), d AS (
+            SELECT *, regexp_matches(line, '^[ \t]*On .+ wrote:[ \t]*$')
+                      AND coalesce(lead(level) OVER (PARTITION BY conv, seq ORDER BY i), 0) > 0 AS dropped FROM p
+        ), own AS (
+            SELECT conv, seq, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0 AND NOT dropped), ''),
+                                             '^[ \t\n]+|[ \t\n]+$', '', 'g') AS body
+            FROM d GROUP BY conv, seq
+        ), n AS (
+            SELECT conv, seq, level, regexp_replace(regexp_replace(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[ \t]+', ' ', 'g'), '^ | $', '', 'g') AS norm
+            FROM d WHERE NOT dropped
+        ), o AS (
+            SELECT conv, norm, min(seq) AS origin FROM n WHERE level = 0 AND norm <> '' GROUP BY conv, norm
+        ), f AS (
+            SELECT n.conv, n.seq, n.level, length(n.norm) AS chars, CASE WHEN o.origin < n.seq THEN o.origin END AS origin
+            FROM n LEFT JOIN o ON n.conv = o.conv AND n.norm = o.norm WHERE n.level > 0 AND n.norm <> ''
+        ), e AS (
+            SELECT conv, seq, level, origin, sum(chars) AS chars, count(*) AS k FROM f GROUP BY ALL
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY conv, seq ORDER BY level, chars DESC, origin DESC) AS best
+            FROM e WHERE origin IS NOT NULL
+        ), q AS (
+            SELECT conv, seq, sum(k)::BIGINT AS n_quoted, coalesce(sum(k) FILTER (origin IS NOT NULL), 0)::BIGINT AS n_linked
+            FROM e GROUP BY conv, seq
+        ), t AS (
+            SELECT m.conv_id, m.turn, m.role, m.conv, m.seq, r.origin, coalesce(r.origin, CASE WHEN m.seq > 0 THEN m.seq - 1 END) AS reply_to,
+                   coalesce(q.n_quoted, 0) AS n_quoted, coalesce(q.n_linked, 0) AS n_linked, own.body
+            FROM m JOIN own USING (conv, seq) LEFT JOIN q USING (conv, seq)
+            LEFT JOIN r ON r.conv = m.conv AND r.seq = m.seq AND r.best = 1
+        ), x AS (
+            SELECT conv, seq, 0::BIGINT AS depth FROM t WHERE reply_to IS NULL
+            UNION ALL
+            SELECT t.conv, t.seq, x.depth + 1 FROM t JOIN x ON t.conv = x.conv AND t.reply_to = x.seq
+        )
+        SELECT conv_id, turn, role, seq, reply_to,
+               CASE WHEN origin IS NOT NULL THEN 'quote' WHEN seq > 0 THEN 'sequence' ELSE 'start' END AS link,
+               n_quoted, n_linked, depth, row_number() OVER (PARTITION BY conv ORDER BY depth, seq) - 1 AS position, body
+        FROM t JOIN x USING (conv, seq)
+    """,
     "op2_pivot_topk": """
         WITH v AS (
             SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS e FROM embeddings
