@@ -150,3 +150,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for more in decided[1:]:
         out = out.unionByName(more)
     return out.select("row.doc_id", "row.size", "row.source_size", "row.target", (F.col("copies") * F.col("row.size")).alias("taken"), "copies")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """docs as the mix takes them: rows without copies go, others stand as often as they are taken. id_col is unique; rows
+    with a null id stay once."""
+    copies = cut(mix(docs, id_col, text_col, source_col, **how).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "copies"))
+    joined = docs.join(copies, F.col(id_col) == F.col("_id"), "left").withColumn("copies_", F.coalesce("copies", F.lit(1)))
+    return joined.where("copies_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)

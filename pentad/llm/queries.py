@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pentad.llm.common import table
+from pentad.llm.kneser_ney import perplexity_scores
 from pentad.llm.license_scan import license_scan
+from pentad.llm.line_dedup import loss
 from pentad.llm.mixing import mix
 from pentad.llm.multi_index import multi_index_search
+from pentad.llm.packing import pack
 from pentad.llm.pivot_topk import pivot_topk
 from pentad.llm.quote_links import link_quotes
 from pentad.llm.simhash import simhash_groups
@@ -33,14 +36,28 @@ def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loss(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,8 +67,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_topk": op2_pivot_topk,
     "op3_license_scan": op3_license_scan,
     "op4_pivotal_mix": op4_pivotal_mix,
+    "op5_lexical_packing": op5_lexical_packing,
     "op6_multi_index": op6_multi_index,
+    "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -134,7 +134,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near duplicates of another row: the row with the smallest id of each component stays."""
-    groups = simhash_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    """docs without the near duplicates of another row: one row with the smallest id of each component stays. Rows with a
+    null id take no part and stay."""
+    named = docs.where(F.col(id_col).isNotNull())
+    groups = simhash_groups(named, id_col, text_col)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    return named.join(gone, id_col, "left_anti").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

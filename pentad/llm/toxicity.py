@@ -134,6 +134,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {"share": float(share), "pair": pair, "mean": mean, "scale": scale, "weights": weights}
 
 
+def probability(model: dict, features: list[list[float]]) -> np.ndarray:
+    z = (np.array(features) - model["mean"]) / model["scale"]
+    return 1 / (1 + np.exp(-np.clip(model["weights"][0] + z @ model["weights"][1:], -30, 30)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 at or above the threshold)."""
     model = train(docs, labels, id_col, text_col)
@@ -144,11 +149,27 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             if gains is None:
                 scores = np.full(b.num_rows, model["share"])
             elif b.num_rows:
-                x = np.array([gains.features(t) for t in b.column("body").to_pylist()])
-                scores = 1 / (1 + np.exp(-np.clip(model["weights"][0] + ((x - model["mean"]) / model["scale"]) @ model["weights"][1:], -30, 30)))
+                scores = probability(model, [gains.features(t) for t in b.column("body").to_pylist()])
             else:
                 continue
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     scored = text_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """docs without the rows that score at or above the threshold: one scan, all columns as they are."""
+    model = train(docs, labels, id_col, text_col)
+    if "pair" not in model:
+        return docs if model["share"] < threshold else docs.limit(0)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains = Gains(*model["pair"])
+        for b in batches:
+            if b.num_rows:
+                bodies = b.column(at).cast(pa.binary()).to_pylist()
+                yield b.filter(pa.array(probability(model, [gains.features(t or b"") for t in bodies]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
