@@ -13,13 +13,13 @@ from pentad.config import FEATURES, SCALE
 def request_value(x: Column) -> Column:
     """0..1 to 0..10000, halves up."""
     inside = F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    return F.floor(inside * F.lit(float(SCALE)) + F.lit(0.5)).cast("smallint")
+    return F.when(x.isNotNull(), F.floor(inside * F.lit(float(SCALE)) + F.lit(0.5)).cast("smallint"))
 
 
 def reference_value(x: Column) -> Column:
     """-1..1 to -10000..10000, halves away from zero."""
     inside = F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0)) * F.lit(float(SCALE))
-    return (inside + F.when(inside >= 0, F.lit(0.5)).otherwise(F.lit(-0.5))).cast("bigint").cast("smallint")
+    return F.when(x.isNotNull(), (inside + F.when(inside >= 0, F.lit(0.5)).otherwise(F.lit(-0.5))).cast("bigint").cast("smallint"))
 
 
 def rounded_mean(total: Column, n: Column) -> Column:

@@ -51,7 +51,7 @@ def _pairs(q: DataFrame, r: DataFrame, on, how_far: str | None = None) -> DataFr
         near = F.col(f"q.{how_far}").isNull() | (d <= F.col(f"q.{how_far}"))
         on = near if on is None else on & near
     joined = q.alias("q").crossJoin(r.alias("r")) if on is None else q.alias("q").join(r.alias("r"), on)
-    return joined.select("q.query_id", "r.ref_id", "r.label", d.alias("dist"))
+    return joined.where(d.isNotNull()).select("q.query_id", "r.ref_id", "r.label", d.alias("dist"))
 
 
 def flat(queries: DataFrame, refs: DataFrame) -> DataFrame:
