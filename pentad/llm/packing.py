@@ -25,33 +25,66 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pentad.llm.common import cut, text_bytes, worker_cache
+from pentad.llm.common import LOWER, cut, text_bytes, worker_cache
 
 WINDOW, END, SHARD = 4096, 2, 1_500_000
 TERMS, K1, B = 24, 1.2, 0.75
-CACHE = 500_000
+CACHE = 700_000
+#: Marks that the tokenizer takes as one pre-token when they follow each other.
+MARKS = b".,;:!?()[]{}\"*#%&|-_/+=~"
 
 
 def encoder(path: str):
     """A function from texts (UTF-8) to arrays of ids. White space parts tokens, so each run of other characters is
-    encoded by the tokenizer once and then kept."""
+    encoded by the tokenizer once and then kept. Runs of letters, with or without marks behind them, are encoded many at
+    a time: letters and marks are a pre-token each, and in vocabularies with word ends its last id shows it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     if tokenizer.get_vocab_size() > 65536:
         raise ValueError("ids are kept in 16 bits")
+    closes = np.zeros(65536, bool)
+    closes[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
     known: dict[bytes, bytes] = worker_cache().setdefault(("words", path), {})
 
+    def one_by_one(runs: list[bytes]) -> None:
+        for w, e in zip(runs, tokenizer.encode_batch_fast([w.decode() for w in runs], add_special_tokens=False), strict=True):
+            known[w] = np.asarray(e.ids, np.uint32).astype("<u2").tobytes()
+
+    def together(parts: list[bytes]) -> None:
+        for at in range(0, len(parts), 1024):
+            some = parts[at : at + 1024]
+            ids = np.asarray(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32).astype("<u2")
+            cuts = [0, *((np.flatnonzero(closes[ids]) + 1) * 2).tolist()]
+            if len(cuts) != len(some) + 1:  # another view of what a letter is, or of where pre-tokens end
+                one_by_one(some)
+                continue
+            data = ids.tobytes()
+            for i, w in enumerate(some):
+                known[w] = data[cuts[i] : cuts[i + 1]]
+
+    def learn(runs: list[bytes]) -> None:
+        plain, odd, parts = [], [], {}
+        for w in runs:
+            core = w.rstrip(MARKS)
+            text = core.decode()
+            if text.isalpha() and text.lower().isalpha():
+                plain.append((w, core, w[len(core) :]))
+                parts[core] = parts[w[len(core) :]] = None
+            else:
+                odd.append(w)
+        together([x for x in parts if x and x not in known])
+        for w, core, marks in plain:
+            known[w] = known[core] + known[marks] if marks else known[core]
+        one_by_one(odd)
+
     def encode(bodies: list[bytes]) -> list[np.ndarray]:
         out = []
         for at in range(0, len(bodies), 256):
-            split = [b.split() for b in bodies[at : at + 256]]
-            new = list({w for words in split for w in words if w not in known})
-            for start in range(0, len(new), 4096):
-                part = new[start : start + 4096]
-                for w, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.asarray(e.ids, np.uint32).astype("<u2").tobytes()
+            # small letters first: fewer runs; where a special token's text might come of it, as it stands
+            split = [(b if b"<|" in b else b.translate(LOWER)).split() for b in bodies[at : at + 256]]
+            learn(list({w for words in split for w in words if w not in known}))
             out += [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u2") for words in split]
             if len(known) > CACHE:
                 known.clear()

@@ -15,7 +15,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def test_round_trip(spark):
     rng = random.Random(12)
-    words = ["Alpha", "beta's", "42", "naïve", "ét", "ß", "a b", "...", "漢字", "don't"] + [f"w{i}" for i in range(200)]
+    words = ["Alpha", "beta's", "42", "naïve", "ét", "ß", "a b", "...", "漢字", "don't", "Word.", "e\u0301t", "I\u0307x", "İs", "x..,", "'s", "a'b!", "--", "٣x", "<|endoftext|>", "<|ENDOFTEXT|>", "a\u00a0b", "ﬁ?"] + [f"w{i}" for i in range(200)]
     docs = odd_docs(spark, [rng.choice((" ", "\n", "\t ")).join(rng.choice(words) for _ in range(rng.choice((0, 3, 40, 400, 6000)))) for _ in range(120)])
     pieces = pack(docs, PATH, shard=60_000).collect()
     tokenizer = Tokenizer.from_file(PATH)
