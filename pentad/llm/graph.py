@@ -15,12 +15,17 @@ LEAST_HEAVY = 100
 def skew_join(many: DataFrame, one: DataFrame, keys: list[str], n_rows: int, how: str = "inner") -> DataFrame:
     """Joins many with one, which has a row for each key at most; how is inner or left.
 
-    Keys that hold more than a thousandth of many's n_rows rows are at most a thousand: their rows of one are broadcast,
-    so no task gathers the rows of a heavy key. The other rows meet in a usual join. Keys are not null."""
+    Keys that hold more than a thousandth of many's n_rows rows are at most a thousand: what one has for them is
+    broadcast to all rows, so no task gathers the rows of a heavy key. The other rows meet in a usual join. Keys are not
+    null."""
     heavy = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(LEAST_HEAVY, n_rows // HEAVY_SHARE)).select(*keys)
-    heavy = F.broadcast(cut(heavy))
-    hot = many.join(heavy, keys, "left_semi").join(F.broadcast(one.join(heavy, keys, "left_semi")), keys, how)
-    return hot.unionByName(many.join(heavy, keys, "left_anti").join(one, keys, how))
+    heavy = cut(heavy)
+    met = one.join(F.broadcast(heavy), keys).withColumn("_met", F.lit(True))
+    small = cut(heavy.join(F.broadcast(met), keys, "left").withColumn("_hot", F.lit(True)))
+    marked = many.join(F.broadcast(small), keys, "left")
+    rest = marked.where(F.col("_hot").isNull()).select(*many.columns).join(one, keys, how)
+    hot = marked.where(F.col("_hot") & F.col("_met") if how == "inner" else F.col("_hot"))
+    return hot.select(*rest.columns).unionByName(rest)
 
 
 def _star(edges: DataFrame, n_rows: int, large: bool) -> DataFrame:
