@@ -1,10 +1,10 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on ordinary texts, one on the windows of toxic texts whose character n-grams
-are far commoner in toxic than in ordinary texts; the toxic one also holds the ordinary one's tables and content, so the
+are far commoner in toxic than in ordinary texts (by texts that have it between new neighbours, so copies do not count); the toxic one also holds the ordinary one's tables and content, so the
 two price common text alike. A window is a word between a carrier that both dictionaries know, which keeps zstandard from
 storing short input as it is. What a window's frame is longer with the ordinary than with the toxic dictionary is its
-gain. A logistic fit on labelled texts that the dictionaries have not seen turns the numbers of windows at or above each
+gain. A logistic fit, on labelled texts priced by dictionaries of the other folds, turns the numbers of windows at or above each
 threshold of gain into a probability.
 
 The fit uses a bounded sample of labelled rows (TOXIC_SAMPLE and ORDINARY_SAMPLE, in an order given by a hash of the id);
@@ -31,7 +31,8 @@ from pentad.llm.common import LOWER, text_bytes
 
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2500, 7500
 LEVEL, DICTIONARY, TOXIC_CONTENT, CARRIER = 3, 16384, 3072, 48
-GRAMS, RATIO, SUPPORT = (5, 6), 15.0, 0.01
+GRAMS, RATIO, SUPPORT, SUPPORT_SHARE = (5, 6), 15.0, 4, 0.01
+FOLDS = 4
 THRESHOLDS = tuple(range(1, 11))
 CACHE = 400_000
 #: Bytes other than ASCII letters and those of longer characters part windows; A-Z become a-z.
@@ -47,8 +48,25 @@ def grams(word: bytes) -> set[bytes]:
     return {padded[i : i + k] for k in GRAMS for i in range(len(padded) - k + 1)}
 
 
-def document_grams(text: bytes) -> set[bytes]:
-    return set().union(*map(grams, set(words(text))))
+def occurrences(texts: list[bytes]) -> Counter:
+    """In how many texts each word stands between neighbours that no earlier text has around it: neither copies of a text
+    nor repeats within one add to it."""
+    seen, found = set(), Counter()
+    for t in texts:
+        ws = words(t)
+        fresh = set(zip(ws, [b"", *ws[:-1]], [*ws[1:], b""], strict=True)) - seen
+        seen |= fresh
+        found.update({w for w, _, _ in fresh})
+    return found
+
+
+def gram_counts(found: Counter, only: dict | None = None) -> Counter:
+    out = Counter()
+    for w, n in found.items():
+        for g in grams(w):
+            if only is None or g in only:
+                out[g] += n
+    return out
 
 
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
@@ -58,12 +76,12 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
         base = zstandard.train_dictionary(DICTIONARY, [s for s in samples if s], level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: its content as it is
         base = b" ".join(samples)[-DICTIONARY:] or b" "
-    there = Counter(g for t in toxic for g in document_grams(t))
-    least = max(2, SUPPORT * len(toxic))
-    there = {g: n for g, n in there.items() if n >= least}
-    usual = Counter(g for t in ordinary for g in document_grams(t) if g in there)
-    rich = {g for g, n in there.items() if n / len(toxic) > RATIO * (usual[g] + 0.5) / len(ordinary)}
-    windows = Counter(w for t in toxic for w in words(t) if not rich.isdisjoint(grams(w)))
+    found, usual = occurrences(toxic), occurrences(ordinary)
+    least = max(SUPPORT, SUPPORT_SHARE * len(toxic))
+    rich = {g: n for g, n in gram_counts(found).items() if n >= least}
+    common = gram_counts(usual, rich)
+    rich = {g for g, n in rich.items() if n / len(toxic) > RATIO * (common[g] + 0.5) / len(ordinary)}
+    windows = {w: n for w, n in found.items() if not rich.isdisjoint(grams(w))}
     content = b" ".join(sorted(windows, key=lambda w: (windows[w], w)))
     return base, base + b" " + content[-TOXIC_CONTENT:] + b" "
 
@@ -126,11 +144,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic, ordinary = ([t for _, y, t in rows if y == c] for c in (1, 0))
     if len(toxic) < 2 or len(ordinary) < 2:
         return {"share": float(share)}
-    pair = train_dictionaries(toxic[::2], ordinary[::2])
-    gains = Gains(*pair)
-    x = np.array([gains.features(t) for t in toxic[1::2] + ordinary[1::2]])
-    y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(ordinary[1::2]))
-    mean, scale, weights = fit(x, y, float(share))
+    folds, x, y = min(FOLDS, len(toxic), len(ordinary)), [], []
+    for f in range(folds):  # each fold is priced by dictionaries that have not seen it
+        gains = Gains(*train_dictionaries(*([t for i, t in enumerate(side) if i % folds != f] for side in (toxic, ordinary))))
+        for label, side in ((1.0, toxic), (0.0, ordinary)):
+            x += [gains.features(t) for t in side[f::folds]]
+            y += [label] * len(side[f::folds])
+    pair = train_dictionaries(toxic, ordinary)
+    mean, scale, weights = fit(np.array(x), np.array(y), float(share))
     return {"share": float(share), "pair": pair, "mean": mean, "scale": scale, "weights": weights}
 
 
