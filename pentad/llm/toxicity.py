@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +55,13 @@ def occurrences(texts: list[bytes]) -> Counter:
     seen, found = set(), Counter()
     for t in texts:
         ws = words(t)
-        fresh = set(zip(ws, [b"", *ws[:-1]], [*ws[1:], b""], strict=True)) - seen
-        seen |= fresh
-        found.update({w for w, _, _ in fresh})
+        new = set()
+        for at in zip([b"", *ws[:-1]], ws, [*ws[1:], b""], strict=True):
+            key = xxhash.xxh3_64_intdigest(b" ".join(at))
+            if key not in seen:
+                seen.add(key)
+                new.add(at[1])
+        found.update(new)
     return found
 
 
@@ -76,7 +81,7 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes
         base = zstandard.train_dictionary(DICTIONARY, [s for s in samples if s], level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: its content as it is
         base = b" ".join(samples)[-DICTIONARY:] or b" "
-    found, usual = occurrences(toxic), occurrences(ordinary)
+    found, usual = occurrences(toxic), Counter(w for t in ordinary for w in set(words(t)))
     least = max(SUPPORT, SUPPORT_SHARE * len(toxic))
     rich = {g: n for g, n in gram_counts(found).items() if n >= least}
     common = gram_counts(usual, rich)
