@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 from collections.abc import Callable, Iterator
 
@@ -14,10 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import pentad
+from pentad.storage import cut, shared_dir
 
 # Functions sent to executors carry their code, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(pentad)
 
+__all__ = ["LOWER", "blobs", "cut", "finite_vector", "lower_az", "main_dimension", "map_batches", "matrix", "shared_dir", "table", "text_bytes", "worker_cache"]
+
 #: Maps the bytes of UTF-8 text so that A-Z become a-z; all other bytes stay.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Spark SQL arguments of translate() for the same mapping.
@@ -32,21 +34,6 @@ def lower_az(text: Column) -> Column:
     return F.translate(text, UPPER_AZ, LOWER_AZ)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is set only where the session names none."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pentad-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and goes on from there: computed once, and safe when executors are lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def finite_vector(col: str) -> Column:
     """True for arrays with components, none of them null or non-finite."""
     c = F.col(col)
