@@ -28,10 +28,13 @@ from pyspark.sql import functions as F
 
 from pentad.llm.common import LOWER, cut, map_batches, text_bytes
 from pentad.llm.graph import components, skew_join
+from pentad.llm.near_copies import representatives
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 BLOCK_BITS = (11, 11, 11, 11, 10, 10)
 CHUNK = 512
+#: The pipeline's rule for near copies: op8's three words and three bits bind that query alone.
+KEEP_WIDTH, KEEP_SIMILARITY = 5, 0.8
 
 
 def fingerprint(body: bytes, width: int = SHINGLE) -> int:
@@ -133,10 +136,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near duplicates of another row: one row with the smallest id of each component stays. Rows with a
-    null id take no part and stay."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = KEEP_WIDTH, similarity: float = KEEP_SIMILARITY) -> DataFrame:
+    """docs without the near copies of another row: of each component of texts whose shingles of width words have a
+    Jaccard similarity of at least similarity, one row with the smallest id stays. Rows with a null id take no part and
+    stay. Fingerprints of such pairs differ by more bits than blocks can find, so candidates come from ``near_copies``."""
     named = docs.where(F.col(id_col).isNotNull())
-    groups = simhash_groups(named, id_col, text_col)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col))
-    return named.join(gone, id_col, "left_anti").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    kept = representatives(named, [F.col(id_col).alias("id")], width, similarity, text_col).select(F.col("least.id").alias(id_col))
+    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

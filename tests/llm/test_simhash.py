@@ -81,3 +81,29 @@ def test_masks_and_spanning():
 def test_keep_one_keeps_clean_rows(spark):
     docs = spark.createDataFrame([(1, "one two three four five"), (2, "one two three four five"), (3, "other words stand in this text"), (None, "x")], "doc_id long, text string")
     assert sorted(r.doc_id or 0 for r in keep_one(docs).collect()) == [0, 1, 3]
+
+
+def test_keep_one_links_five_words_at_similarity_08(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(rng.choice((3, 5, 30, 120, 400)))]
+        texts.append(" ".join(base))
+        for _ in range(5):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), min(len(copy), rng.choice((0, 1, 1, 2, 5, 9)))):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    sets = [grams(t) for t in texts]
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = sorted(set(roots(range(len(texts)), near).values()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in keep_one(docs).collect()) == want
+    fps = [plain_fingerprint(t) for t in texts]
+    assert any((fps[a] ^ fps[b]).bit_count() > 3 and near(a, b) for a in range(len(texts)) for b in range(a))
