@@ -1,10 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pentad.config import DIMS, FEATURES, IndexConfig, SearchConfig
 from pentad.operators import index, knn
+from pentad.plans import queries as library
+from pentad.plans.tables import transaction_features
 from tests.data import queries, refs, vector
 
 ZERO = [[0] * DIMS]
@@ -106,3 +109,15 @@ def test_early_distance_stops(spark):
     listed, lists = lists_of(spark, refs(spark, [(10, 1)] * 3 + [(10, 0)] * 2 + [(0, 0)]), [0] * 5 + [1], {1: 10000})
     got = knn.staged(queries(spark, [vector(f0=11)]), listed, lists, SearchConfig(nprobe=1, repair_nprobe=2, early_milli=100)).first()
     assert (got["fraud_count"], got["repaired"]) == (3, False)
+
+
+def test_every_event_is_scored(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = sorted(transaction_features(spark.read.parquet(f"{sf}/events.parquet")).collect(), key=lambda r: r.event_id)
+    x = np.array([[r[f] for f in FEATURES] for r in rows], np.int64)
+    got = {r.query_id: r.fraud_count for r in library.tx_scores_all(spark, sf).collect()}
+    assert set(got) == {r.event_id for r in rows}
+    for i, r in enumerate(rows):
+        if r.valid:
+            near = np.lexsort((np.array([q.event_id for q in rows]), ((x - x[i]) ** 2).sum(1)))[:5]
+            assert got[r.event_id] == sum(rows[j].label for j in near), r.event_id
