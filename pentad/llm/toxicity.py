@@ -34,6 +34,8 @@ TOXIC_SAMPLE, ORDINARY_SAMPLE = 2500, 7500
 LEVEL, DICTIONARY, TOXIC_CONTENT, CARRIER = 3, 16384, 3072, 48
 GRAMS, RATIO, SUPPORT, SUPPORT_SHARE = (5, 6), 15.0, 4, 0.01
 FOLDS = 4
+#: Scores that count as toxic, for the verdict and for what the pipeline drops.
+THRESHOLD = 0.3
 THRESHOLDS = tuple(range(1, 11))
 CACHE = 400_000
 #: Bytes other than ASCII letters and those of longer characters part windows; A-Z become a-z.
@@ -165,7 +167,7 @@ def probability(model: dict, features: list[list[float]]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model["weights"][0] + z @ model["weights"][1:], -30, 30)))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 at or above the threshold)."""
     model = train(docs, labels, id_col, text_col)
 
@@ -184,7 +186,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score at or above the threshold: one scan, all columns as they are."""
     model = train(docs, labels, id_col, text_col)
     if "pair" not in model:

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from pentad.llm.toxicity import toxicity
+from pentad.llm.toxicity import toxicity, without_toxic
 from tests.llm.brute import no_docs, odd_docs
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -35,3 +35,10 @@ def test_odd_rows(spark):
     assert toxicity(docs, labels).count() == docs.count()
     assert {r.score for r in toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity(no_docs(spark), labels).count() == 0
+
+
+def test_stage_drops_what_the_operator_marks(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity(docs, labels).collect()
+    assert any(0.3 <= r.score < 0.5 for r in rows)
+    assert sorted(str(r.doc_id) for r in without_toxic(docs, labels).collect()) == sorted(str(r.doc_id) for r in rows if not r.predicted)
