@@ -138,8 +138,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = KEEP_WIDTH, similarity: float = KEEP_SIMILARITY) -> DataFrame:
     """docs without the near copies of another row: of each component of texts whose shingles of width words have a
-    Jaccard similarity of at least similarity, one row with the smallest id stays. Rows with a null id take no part and
-    stay. Fingerprints of such pairs differ by more bits than blocks can find, so candidates come from ``near_copies``."""
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = representatives(named, [F.col(id_col).alias("id")], width, similarity, text_col).select(F.col("least.id").alias(id_col))
-    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    Jaccard similarity of at least similarity, one row with the smallest id stays (null ids come last, and of equal ids
+    the smaller text hash first). Rows are told apart by id and text, so ids may repeat or be null. Fingerprints of such
+    pairs differ by more bits than blocks can find, so candidates come from ``near_copies``."""
+    key = [F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t")]
+    kept = representatives(docs, key, width, similarity, text_col).select(F.col("least.id").alias("_id"), F.col("least.t").alias("_t"))
+    rows = docs.withColumn("_hash", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, "_hash"])
+    return rows.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_t")), "left_semi").select(*docs.columns)

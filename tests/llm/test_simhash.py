@@ -107,3 +107,11 @@ def test_keep_one_links_five_words_at_similarity_08(spark):
     assert sorted(r.doc_id for r in keep_one(docs).collect()) == want
     fps = [plain_fingerprint(t) for t in texts]
     assert any((fps[a] ^ fps[b]).bit_count() > 3 and near(a, b) for a in range(len(texts)) for b in range(a))
+
+
+def test_keep_one_tells_rows_apart_by_id_and_text(spark):
+    a, b, c = ("alpha beta gamma delta epsilon", "other words stand in this text", "a third text of six words")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, b), (None, c), (None, "alone and without an id here"), (None, "alone and without an id here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, a), (5, b), (7, c), (None, "alone and without an id here")]
+    assert sorted(map(repr, map(tuple, keep_one(docs).collect()))) == sorted(map(repr, want))
