@@ -1,21 +1,59 @@
-"""Cutting lineage through the folder that the cluster shares."""
+"""Tables in the folder that the cluster shares. They cut lineage, and a lost executor takes nothing of them along."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_folders: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is set only where the session names none."""
+    """The folder that all executors share, as spark.checkpoint.dir names it. Without that setting it raises, except on a
+    local master, where one machine is the whole cluster."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pentad-checkpoint-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="pentad-checkpoint-")
+        sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """A folder for the session's intermediate tables; it goes when the driver's Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{shared_dir(spark)}/pentad-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _folders[app])
+    return _folders[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and goes on from there: computed once, and safe when executors are lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df as a table and goes on from there: computed once, and with sizes that the planner can read. Checkpoints
+    would hand on the estimated sizes of the plans before them, products over all joins."""
+    path = f"{tables_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that ``cut`` has written, once nothing reads them any more."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            _remove(df.sparkSession, path)
