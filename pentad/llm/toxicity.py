@@ -28,6 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,7 +42,7 @@ TOXIC_DOCS, ORDINARY_DOCS = 2500, 7500
 TOXIC_PIECES, ORDINARY_PIECES = 80_000, 160_000
 #: Words of a window in scoring, and in the rounds that train the toxic dictionary, with the dictionary's bytes in each.
 WINDOW, ROUNDS = 4, ((6, 32768), (3, 32768), (2, 16384), (1, 8192))
-ORDINARY_BYTES, CODE = 122_880, 3
+ORDINARY_BYTES, CODE, LEAST = 122_880, 3, 4
 #: Of ordinary windows, so many may be priced lower than a window that goes on to the next round.
 ODD = 0.01
 #: Of the labelled texts, one in so many is kept for the fit of the thresholds' weights.
@@ -89,10 +90,32 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-class Gains:
-    """Gains of windows: what the toxic dictionary saves."""
+def novel(ordinary: bytes, toxic: bytes) -> list[bytes]:
+    """The shortest runs of bytes, four at least (a shorter match saves nothing), that the toxic dictionary holds and the
+    ordinary one does not."""
+    out, end = [], 0
+    for start in range(len(toxic)):
+        end = max(end, start + LEAST)
+        while end <= len(toxic) and toxic[start:end] in ordinary:
+            end += 1
+        if end > len(toxic):
+            break
+        if end - start == LEAST or toxic[start + 1 : end] in ordinary:  # else a shorter one follows, with the same end
+            out.append(toxic[start:end])
+    return sorted(set(out))
+
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
+class Gains:
+    """Gains of windows: what the toxic dictionary saves. With ``runs``, what ``novel`` finds, windows that hold none of
+    them are not compressed: the toxic dictionary has no match for them that the ordinary one lacks, so their gain is 0."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes, runs: list[bytes] | None = None):
+        self.search = None
+        if runs:
+            self.search = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for r in runs:
+                self.search.add_word(r.decode("latin-1"))
+            self.search.make_automaton()
         how = zstandard.ZstdCompressionParameters(
             strategy=zstandard.STRATEGY_BTOPT, min_match=3, search_log=5, target_length=64, window_log=18, hash_log=17, chain_log=18,
             format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
@@ -102,7 +125,14 @@ class Gains:
 
     def of(self, spelt: list[bytes]) -> list[int]:
         a, b = self.ordinary, self.both
-        return [len(a(w)) - len(b(w)) for w in spelt]
+        if self.search is None:
+            return [len(a(w)) - len(b(w)) for w in spelt]
+        ends = np.cumsum([len(w) for w in spelt])
+        hits = np.fromiter((end for end, _ in self.search.iter(b"".join(spelt).decode("latin-1"))), np.int64)
+        out = [0] * len(spelt)
+        for i in np.unique(np.searchsorted(ends, hits, "right")).tolist():
+            out[i] = len(a(spelt[i])) - len(b(spelt[i]))
+        return out
 
     def features(self, body: bytes) -> list[float]:
         g = np.array(self.of(windows(words(body), WINDOW)), np.int64)
@@ -212,8 +242,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         odd = odd_windows(lots, n, ordinary, [dictionary(side, size) for side in odd])
     toxic = dictionary(odd[0] + odd[1], ROUNDS[-1][1])
 
+    runs = novel(ordinary, toxic)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains = Gains(ordinary, toxic)
+        gains = Gains(ordinary, toxic, runs)
         for b in batches:
             x = [gains.features(t) for t in b.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
@@ -221,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     told = texts.where(apart).select("toxic", "body").mapInArrow(run, "toxic int, x array<double>").collect()
     told = sorted((r["toxic"], r["x"]) for r in told)
     mean, scale, weights = fit(np.array([x for _, x in told]), np.array([float(y) for y, _ in told]), share)
-    return {"share": share, "pair": (ordinary, toxic), "mean": mean, "scale": scale, "weights": weights}
+    return {"share": share, "pair": (ordinary, toxic, runs), "mean": mean, "scale": scale, "weights": weights}
 
 
 def probability(model: dict, features: list[list[float]]) -> np.ndarray:

@@ -64,6 +64,8 @@ def test_gains_are_differences_of_compressed_lengths():
     assert T.windows(T.words(text.encode()), T.WINDOW) == spelt
     got = gains.of(spelt)
     assert got[0] >= 4 and got[-1] >= 4 and all(abs(g) < 4 for g in got[1:-1])
+    runs = T.novel(ordinary, toxic)
+    assert all(r in toxic and r not in ordinary for r in runs) and T.Gains(ordinary, toxic, runs).of(spelt) == got
     # the lengths are those of frames that decompress to the windows with the same dictionaries
     for w, g in zip(spelt, got, strict=True):
         sizes = []
