@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import pentad
-from pentad.storage import cut, shared_dir
+from pentad.storage import cut, drop, shared_dir, tables_dir
 
 # Functions sent to executors carry their code, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(pentad)
 
-__all__ = ["LOWER", "blobs", "cut", "finite_vector", "lower_az", "main_dimension", "map_batches", "matrix", "shared_dir", "table", "text_bytes", "worker_cache"]
+__all__ = ["LOWER", "blobs", "cut", "drop", "finite_vector", "lower_az", "main_dimension", "map_batches", "matrix", "shared_dir", "table", "tables_dir", "text_bytes", "worker_cache"]
 
 #: Maps the bytes of UTF-8 text so that A-Z become a-z; all other bytes stay.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

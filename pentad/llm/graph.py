@@ -1,62 +1,52 @@
-"""Skew-safe joins and connected components on edge tables."""
+"""Connected components on edge tables.
+
+Joins here and in the other modules are plain equality joins of a side with many rows for a key and a side with one. No
+task gathers a hot key: Spark's adaptive execution splits the large partitions of the first side and gives each split the
+few rows of the second. It does so where both sides are shuffled for the join itself. So the second side is a table from
+``cut``, or its key is computed anew from the one it was aggregated by (``bitwise_not`` twice)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pentad.llm.common import cut
-
-#: A key with more than one in so many rows is heavy: there are at most so many heavy keys, whatever the input.
-HEAVY_SHARE = 1000
-LEAST_HEAVY = 100
+from pentad.llm.common import cut, drop
 
 
-def skew_join(many: DataFrame, one: DataFrame, keys: list[str], n_rows: int, how: str = "inner") -> DataFrame:
-    """Joins many with one, which has a row for each key at most; how is inner or left.
+def anew(df: DataFrame, key: str) -> DataFrame:
+    """df, an aggregate by the column w = bitwise_not(key), with key instead of w."""
+    return df.withColumn(key, F.bitwise_not("w")).drop("w")
 
-    Keys that hold more than a thousandth of many's n_rows rows are at most a thousand: what one has for them is
-    broadcast to all rows, so no task gathers the rows of a heavy key. The other rows meet in a usual join. Keys are not
-    null."""
-    heavy = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(LEAST_HEAVY, n_rows // HEAVY_SHARE)).select(*keys)
-    heavy = cut(heavy)
-    met = one.join(F.broadcast(heavy), keys).withColumn("_met", F.lit(True))
-    small = cut(heavy.join(F.broadcast(met), keys, "left").withColumn("_hot", F.lit(True)))
-    marked = many.join(F.broadcast(small), keys, "left")
-    rest = marked.where(F.col("_hot").isNull()).select(*many.columns).join(one, keys, how)
-    hot = marked.where(F.col("_hot") & F.col("_met") if how == "inner" else F.col("_hot"))
-    return hot.select(*rest.columns).unionByName(rest)
 
-
-def _star(edges: DataFrame, n_rows: int, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step of the alternating star contraction on edges u > v: neighbours move to the least neighbour."""
     if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        n_rows *= 2
-    else:
-        both = edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    near = skew_join(both, least, ["u"], n_rows)
+        way = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+        edges = edges.select(way.alias("e")).select("e.u", "e.v")
+    least = anew(edges.groupBy(F.bitwise_not("u").alias("w")).agg(F.min("v").alias("m")), "u")
+    near = edges.join(least.withColumn("m", F.least("m", "u")), "u")
     if large:
-        moved = near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        moved = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-    return moved.where(F.col("u") > F.col("v")).distinct()
+        way = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))
+        moved = near.select(way.alias("e")).select("e.u", "e.v")
+    return moved.where("u > v").distinct()
 
 
 def components(edges: DataFrame, a: Column, b: Column) -> DataFrame:
-    """node, root: the least node of each connected component, for every node that has an edge to another.
+    """node, root: the least node of each connected component, for every node that has an edge to another. Nodes are long.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) until nothing moves: every round is a constant
     number of shuffles of the edges that are left, and the number of rounds grows with the logarithm of the input."""
-    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") > F.col("v")).distinct())
-    n, before = now.count(), None
-    while n:
-        now = cut(_star(cut(_star(now, n, True)), n, False))
+    now, before = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") > F.col("v")).distinct()), None
+    while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        if state == before or not state[0]:
             break
-        n, before = state[0], state
+        wide = cut(_star(now, True))
+        drop(now)
+        now, before = cut(_star(wide, False)), state
+        drop(wide)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

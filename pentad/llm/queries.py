@@ -96,22 +96,30 @@ ORACLE_SQL: dict[str, str] = {
                                              '^[ \t\n]+|[ \t\n]+$', '', 'g') AS body
             FROM d GROUP BY conv, seq
         ), n AS (
-            SELECT conv, seq, level, regexp_replace(regexp_replace(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            SELECT conv, seq, i, level, regexp_replace(regexp_replace(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(1) || chr(2) || chr(3),
                    'abcdefghijklmnopqrstuvwxyz'), '[ \t]+', ' ', 'g'), '^ | $', '', 'g') AS norm
             FROM d WHERE NOT dropped
+        ), g AS (
+            SELECT *, i - row_number() OVER (PARTITION BY conv, seq, level ORDER BY i) AS grp FROM n WHERE norm <> ''
+        ), pa AS (
+            SELECT conv, seq, level, grp, list(norm ORDER BY i) AS ls, string_agg(norm, ' ' ORDER BY i) AS whole FROM g GROUP BY ALL
+        ), u AS (
+            SELECT conv, seq, level, grp,
+                   unnest(list_distinct(list_concat(ls, string_split(regexp_replace(whole, '([.!?]) ', '\1' || chr(1), 'g'), chr(1))))) AS unit
+            FROM pa
         ), o AS (
-            SELECT conv, norm, min(seq) AS origin FROM n WHERE level = 0 AND norm <> '' GROUP BY conv, norm
+            SELECT conv, unit, min(seq) AS origin FROM u WHERE level = 0 GROUP BY conv, unit
         ), f AS (
-            SELECT n.conv, n.seq, n.level, length(n.norm) AS chars, CASE WHEN o.origin < n.seq THEN o.origin END AS origin
-            FROM n LEFT JOIN o ON n.conv = o.conv AND n.norm = o.norm WHERE n.level > 0 AND n.norm <> ''
+            SELECT u.conv, u.seq, u.level, u.grp, length(u.unit) AS chars, CASE WHEN o.origin < u.seq THEN o.origin END AS origin
+            FROM u LEFT JOIN o ON u.conv = o.conv AND u.unit = o.unit WHERE u.level > 0
         ), e AS (
-            SELECT conv, seq, level, origin, sum(chars) AS chars, count(*) AS k FROM f GROUP BY ALL
+            SELECT conv, seq, level, origin, sum(chars) AS chars FROM f GROUP BY ALL
         ), r AS (
             SELECT *, row_number() OVER (PARTITION BY conv, seq ORDER BY level, chars DESC, origin DESC) AS best
             FROM e WHERE origin IS NOT NULL
         ), q AS (
-            SELECT conv, seq, sum(k)::BIGINT AS n_quoted, coalesce(sum(k) FILTER (origin IS NOT NULL), 0)::BIGINT AS n_linked
-            FROM e GROUP BY conv, seq
+            SELECT conv, seq, count(DISTINCT (level, grp))::BIGINT AS n_quoted, count(DISTINCT (level, grp)) FILTER (origin IS NOT NULL)::BIGINT AS n_linked
+            FROM f GROUP BY conv, seq
         ), t AS (
             SELECT m.conv_id, m.turn, m.role, m.conv, m.seq, r.origin, coalesce(r.origin, CASE WHEN m.seq > 0 THEN m.seq - 1 END) AS reply_to,
                    coalesce(q.n_quoted, 0) AS n_quoted, coalesce(q.n_linked, 0) AS n_linked, own.body

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pentad.llm.common import LOWER, cut, map_batches, text_bytes
-from pentad.llm.graph import components, skew_join
+from pentad.llm.graph import anew, components
 from pentad.llm.near_copies import representatives
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -100,10 +100,9 @@ def links(fps: DataFrame) -> DataFrame:
     """a, b: links that connect all distinct fingerprints fp which are connected by differences of at most 3 bits."""
     keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks()))).alias("c", "part"))
     keyed = keyed.select("fp", F.xxhash64("c", "part").alias("bucket"))
-    n = fps.count() * len(masks())
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = anew(keyed.groupBy(F.bitwise_not("bucket").alias("w")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    held = skew_join(keyed, sizes, ["bucket"], n).withColumn("k", chunks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    held = keyed.join(sizes, "bucket").withColumn("k", chunks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     lo, hi = F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")
     paired = held.select("bucket", "fp", "mine", lo, hi).groupBy("bucket", "lo", "hi").agg(
@@ -129,11 +128,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = cut(components(links(nodes.select("fp")), F.col("a"), F.col("b")))
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
-    best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = skew_join(linked.select("fp", "root"), best, ["root"], roots.count()).select("fp", "component_id")
+    best = anew(linked.groupBy(F.bitwise_not("root").alias("w")).agg(F.min("least").alias("component_id")), "root")
+    moved = linked.select("fp", "root").join(best, "root").select("fp", "component_id")
     ids = cut(nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    out = skew_join(marked, ids, ["fp"], marked.count())
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = KEEP_WIDTH, similarity: float = KEEP_SIMILARITY) -> DataFrame:

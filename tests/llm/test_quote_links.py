@@ -1,7 +1,9 @@
+import random
+
 import duckdb
 
 from pentad.llm.queries import ORACLE_SQL
-from pentad.llm.quote_links import link_quotes
+from pentad.llm.quote_links import conversations, link_quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string, seq long, depth long"
 ROWS = [
@@ -38,3 +40,50 @@ def test_against_sql(spark):
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
     assert link_quotes(df.limit(0)).count() == 0
+
+
+def test_rewrapped_passages_link(spark):
+    prose = "The first sentence is long enough to wrap. A second one follows it here! And a third, which stays unquoted."
+    rows = [
+        (1, 0, "user", prose), (1, 1, "assistant", "unrelated words"), (1, 2, "user", "nothing here"),
+        (1, 3, "user", "> The first sentence is long\n>   enough to WRAP. A second\n> one follows it here!\nyes"),
+        (1, 4, "user", "> second one follows it here, somewhat changed\nno"),
+        (1, 5, "user", ">> yes\n> The first sentence is long enough\n> to wrap.\nagain"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.seq: r for r in link_quotes(df).collect()}
+    assert [got[i].reply_to for i in range(6)] == [None, 0, 1, 0, 3, 0] and got[3].n_linked == 1 and got[4].n_linked == 0
+    assert (got[5].n_quoted, got[5].n_linked, got[5].body) == (2, 2, "again")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = con.sql(ORACLE_SQL["op1_quote_links"])
+    assert sorted(map(repr, map(tuple, link_quotes(df).select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_conversations_in_blocks(spark):
+    df = spark.createDataFrame([(*r, 5, 6) for r in ROWS], SCHEMA)
+    told = {(r.conv_id, r.position): r for r in link_quotes(df).collect()}
+    seen = 0
+    for r in conversations(df, block=3).collect():
+        assert 0 < len(r.messages) <= 3
+        for i, m in enumerate(r.messages):
+            t = told[r.conv_id, 3 * r.block + i]
+            up = next((u.position for u in told.values() if u.conv_id == r.conv_id and u.seq == t.reply_to), None)
+            assert (m.role, m.body, m.answers) == (t.role, t.body, up) and (up is None or up < t.position)
+            seen += 1
+    assert seen == len(ROWS) and conversations(df.limit(0)).count() == 0
+
+
+def test_long_chains_of_quotes(spark):
+    rng = random.Random(9)
+    rows = [(1, i, "user", f"message number {i}." if i % 7 else f"> message number {rng.randrange(max(1, i - 40), max(2, i))}.\nmessage number {i}.") for i in range(700)]
+    df = spark.createDataFrame([*rows, *((2, i, "user", "same line") for i in range(50))], "conv_id long, turn long, role string, text string").repartition(5)
+    got = {(r.conv_id, r.seq): r for r in link_quotes(df).collect()}
+    depth = {}
+    for key in sorted(got):
+        up = got[key].reply_to
+        depth[key] = 0 if up is None else depth[key[0], up] + 1
+        assert got[key].depth == depth[key]
+    order = sorted((k for k in got if k[0] == 1), key=lambda k: (depth[k], k[1]))
+    assert [got[k].position for k in order] == list(range(700))
