@@ -17,7 +17,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pentad.llm.common import LOWER, map_batches, text_bytes
+from pentad.llm.common import LOWER, map_batches, text_bytes, worker_cache
 
 #: Fixed phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -54,6 +54,8 @@ FREEDOM = {
     "lgpl": 0.6, "mpl": 0.6, "epl": 0.6, "cc-by-sa": 0.6, "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.2, "cc-by-nc": 0.1, "all-rights-reserved": 0.05,
 }
 UNKNOWN, EXCEPTION_GAIN = 0.5, 0.2
+TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
+LINE_END = re.compile("[\n\r]")
 #: Binding strength of the operators.
 BINDS = {"or": 1, "and": 2, "with": 3}
 #: Bytes that part words become spaces, A-Z become a-z.
@@ -67,16 +69,25 @@ def freedom(name: str) -> float:
 
 
 def to_postfix(expression: str) -> list[str]:
-    """Shunting-yard: the expression's names and operators in postfix order. Reading stops before the first token that
-    cannot go on; open brackets close at the end, and an operator without a right side is dropped."""
+    """The expression's names and operators in postfix order, lower-cased."""
+    return postfix_at(expression.lower(), 0, len(expression))
+
+
+def postfix_at(text: str, start: int, stop: int) -> list[str]:
+    """Shunting-yard: the names and operators, in postfix order, of the expression at start in a lower-cased text. Reading
+    stops before the first token that cannot go on, or that is a tag; open brackets close at the end, and an operator
+    without a right side is dropped. No more is read than the expression."""
     out: list[str] = []
     held: list[str] = []
     want_name = True
-    for token in re.findall(r"[()]|[a-z0-9][a-z0-9.+:-]*", expression.lower()):
+    depth = 0
+    for m in TOKEN.finditer(text, start, stop):
+        token = m[0]
         if want_name:
             if token == "(":
                 held.append(token)
-            elif token in BINDS or token == ")":
+                depth += 1
+            elif token in BINDS or token == ")" or token.startswith(TAGS):
                 break
             else:
                 out.append(token.rstrip(".:"))
@@ -86,10 +97,11 @@ def to_postfix(expression: str) -> list[str]:
                 out.append(held.pop())
             held.append(token)
             want_name = True
-        elif token == ")" and "(" in held:
+        elif token == ")" and depth:
             while held[-1] != "(":
                 out.append(held.pop())
             held.pop()
+            depth -= 1
         else:
             break
     if want_name:
@@ -148,10 +160,12 @@ def scanner(base: dict[str, str], notices: dict[str, str]):
                     base_labels.add(label)
         scores = [freedom(label) for label in found]
         if tagged:
-            low = body.translate(LOWER).decode("latin-1")
+            low, stop = body.translate(LOWER).decode("latin-1"), 0
             for end, _ in tags_of.iter(low):
-                stop = min((i for i in (low.find("\n", end), low.find("\r", end)) if i >= 0), default=len(low))
-                score, names = evaluate(to_postfix(low[end + 1 : stop]))
+                if end >= stop:
+                    line_end = LINE_END.search(low, end)
+                    stop = line_end.start() if line_end else len(low)
+                score, names = evaluate(postfix_at(low, end + 1, stop))
                 if score is not None:
                     scores.append(score)
                     found.update(names)
@@ -171,7 +185,8 @@ def license_scan(
     expression of the text leaves, 0 (none found) to 1. One scan, no shuffle; memory is bounded by an Arrow batch."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scan = scanner(base, notices)
+        key = ("licences", *base.items(), "notices", *notices.items())
+        scan = worker_cache().get(key) or worker_cache().setdefault(key, scanner(base, notices))
         columns = list(zip(*(scan(x) for x in batch.column("body").to_pylist()), strict=True))
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], NAMES)

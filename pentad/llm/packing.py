@@ -3,8 +3,8 @@
 Every text becomes token ids (and an end id); the ids go to the shared folder once. Document frequencies of all tokens
 are counted over the whole table. The documents of a table partition are cut into shards of about SHARD tokens; each has
 an inverted index of its own, scored by BM25 with the table's document frequencies. A window starts with a seed document;
-its highest-weighted terms are looked up, and the unused neighbours that the index returns fill the window in the order
-of their scores, then, when nothing scores, the next unused documents. The document at a window's end is cut, and its
+all its terms are looked up, and the unused neighbours that the index returns fill the window in the order of their
+scores, then, when nothing scores, the next unused documents. The document at a window's end is cut, and its
 rest is the seed of the next window. So all windows of a shard but the last are full; the last is cut into sequences
 whose lengths are powers of two, which need no padding.
 
@@ -28,15 +28,28 @@ from pyspark.sql import functions as F
 from pentad.llm.common import LOWER, cut, text_bytes, worker_cache
 
 WINDOW, END, SHARD = 4096, 2, 1_500_000
-TERMS, K1, B = 24, 1.2, 0.75
+K1, B = 1.2, 0.75
 CACHE = 700_000
 #: Marks that the tokenizer takes as one pre-token when they follow each other.
 MARKS = b".,;:!?()[]{}\"*#%&|-_/+=~"
 
 
+#: Texts that show whether a tokenizer lower-cases A-Z, drops white space and looks at each run between it alone.
+PROBES = ("Some WORDS  here,\tand (these) 42 \u00c9t\u00e9", " a\n\nb's don't\r\nx\x0by", "\u4e2d\u6587 \u0130 z...", "THE the The")
+
+
+def parts_at_blanks(tokenizer) -> bool:
+    """True if a text's ids are those of its lower-cased runs between white space, one after the other."""
+
+    def ids(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    return all(ids(p) == [i for run in p.encode().translate(LOWER).split() for i in ids(run.decode())] for p in PROBES)
+
+
 def encoder(path: str):
-    """A function from texts (UTF-8) to arrays of ids. White space parts tokens, so each run of other characters is
-    encoded by the tokenizer once and then kept. Runs of letters, with or without marks behind them, are encoded many at
+    """A function from texts (UTF-8) to arrays of ids. Where white space parts tokens, each run of other characters is
+    encoded by the tokenizer once and then kept; other tokenizers encode whole texts. Runs of letters, with or without marks behind them, are encoded many at
     a time: letters and marks are a pre-token each, and in vocabularies with word ends its last id shows it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -47,6 +60,8 @@ def encoder(path: str):
     closes = np.zeros(65536, bool)
     closes[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
     known: dict[bytes, bytes] = worker_cache().setdefault(("words", path), {})
+    if not parts_at_blanks(tokenizer):
+        return lambda bodies: [np.asarray(e.ids, np.uint32).astype("<u2") for at in range(0, len(bodies), 256) for e in tokenizer.encode_batch_fast([b.decode() for b in bodies[at : at + 256]], add_special_tokens=False)]
 
     def one_by_one(runs: list[bytes]) -> None:
         for w, e in zip(runs, tokenizer.encode_batch_fast([w.decode() for w in runs], add_special_tokens=False), strict=True):
@@ -126,7 +141,8 @@ def document_frequencies(ids: DataFrame) -> tuple[dict[int, int], int, int]:
 
 
 class Index:
-    """BM25 over the documents of a shard; used documents score nothing."""
+    """BM25 over the documents of a shard; used documents score nothing. Terms that more than an eighth of the documents
+    hold are kept as rows of a matrix, the others as lists of their documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         n = len(docs)
@@ -136,16 +152,31 @@ class Index:
         terms, self.doc = keys // n, keys % n
         self.weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / mean))
         self.starts = np.searchsorted(terms, np.arange(len(idf) + 1))
-        order = np.lexsort((-self.weight, self.doc))
+        order = np.argsort(self.doc, kind="stable")
         self.by_doc, self.doc_starts = terms[order], np.searchsorted(self.doc[order], np.arange(n + 1))
+        held = np.diff(self.starts)
+        usual = np.flatnonzero(held * 8 > n)
+        self.row = np.full(len(idf), -1)
+        self.row[usual] = np.arange(len(usual))
+        self.matrix = np.zeros((len(usual), n))
+        dense = self.row[terms] >= 0
+        self.matrix[self.row[terms[dense]], self.doc[dense]] = self.weight[dense]
         self.unused = np.ones(n, bool)
 
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every document for the seed's terms."""
+        terms = self.by_doc[self.doc_starts[seed] : self.doc_starts[seed + 1]]
+        rows = self.row[terms]
+        asked = np.zeros(len(self.matrix))
+        asked[rows[rows >= 0]] = 1
+        rare = terms[rows < 0]
+        n = self.starts[rare + 1] - self.starts[rare]
+        at = np.repeat(self.starts[rare] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return asked @ self.matrix + np.bincount(self.doc[at], self.weight[at], len(self.unused))
+
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share one of the seed's highest-weighted terms, best first."""
-        scores = np.zeros(len(self.unused))
-        for t in self.by_doc[self.doc_starts[seed] : self.doc_starts[seed + 1]][:TERMS]:
-            span = slice(self.starts[t], self.starts[t + 1])
-            scores[self.doc[span]] += self.weight[span]
+        """Unused documents that share a term with the seed, best first."""
+        scores = self.scores(seed)
         found = np.flatnonzero((scores > 0) & self.unused)
         return found[np.argsort(-scores[found], kind="stable")]
 

@@ -1,8 +1,9 @@
 import re
+import time
 
 import pytest
 
-from pentad.llm.license_scan import evaluate, license_scan, to_postfix
+from pentad.llm.license_scan import BASE, NOTICES, evaluate, license_scan, scanner, to_postfix
 from tests.llm.brute import no_docs, odd_docs
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -44,3 +45,12 @@ def test_against_plain_scan(spark):
 def test_expressions(text, postfix, score):
     assert " ".join(to_postfix(text)) == postfix
     assert evaluate(to_postfix(text))[0] == (score if score is None else pytest.approx(score))
+
+
+@pytest.mark.parametrize("piece", ["SPDX-License-Identifier: MIT ", "spdx-license-identifier: (mit or ", "license-expression: a and license-expression:", "x " * 20 + "SPDX-License-Identifier: ((((", "SPDX-License-Identifier: a)\n"])
+def test_many_tags_on_a_line_take_linear_time(piece):
+    scan = scanner(BASE, NOTICES)
+    scan(b"warm up")
+    began = time.process_time()
+    words, *_, labels, score = scan((piece * 40_000).encode())
+    assert time.process_time() - began < 8 and words >= 40_000 and 0 <= score <= 1

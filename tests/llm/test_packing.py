@@ -1,13 +1,13 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from pentad.llm.packing import pack, pack_shard
+from pentad.llm.packing import B, K1, Index, encoder, pack, pack_shard, parts_at_blanks
 from tests.llm.brute import no_docs, odd_docs
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -57,3 +57,59 @@ def test_neighbours_share_a_window():
 def test_single_document(size):
     got = pack_shard([np.ones(size, "<u2")], np.ones(65536), 1.0, 4096)
     assert sum(x[2] for s in got for x in s) == size and all((n := sum(x[2] for x in s)) & (n - 1) == 0 for s in got)
+
+
+def plain_packing(docs, idf, mean, window):
+    """Full windows as lists of (document, start, length), by plain loops; what is left in the last one, uncut."""
+    tf = [Counter(d.tolist()) for d in docs]
+
+    def score(seed, d):
+        return sum(idf[t] * tf[d][t] * (K1 + 1) / (tf[d][t] + K1 * (1 - B + B * len(docs[d]) / mean)) for t in tf[seed] if t in tf[d])
+
+    unused, windows, now = set(range(len(docs))), [], []
+
+    def put(d, start):
+        take = min(window - sum(x[2] for x in now), len(docs[d]) - start)
+        now.append((d, start, take))
+        if sum(x[2] for x in now) == window:
+            windows.append(now[:])
+            now.clear()
+        return start + take if start + take < len(docs[d]) else None
+
+    seed, rest = None, None
+    while unused or rest is not None:
+        if rest is None:
+            seed, rest = min(unused), 0
+            unused.discard(seed)
+        rest = put(seed, rest)
+        if rest is None and now:
+            for d in sorted((d for d in unused if score(seed, d) > 0), key=lambda d: (-round(score(seed, d), 9), d)):
+                unused.discard(d)
+                rest = put(d, 0)
+                if not now or rest is not None:
+                    seed = d
+                    break
+    return windows, now
+
+
+def test_against_plain_packing():
+    rng = np.random.default_rng(14)
+    docs = [np.where(rng.random(n := int(rng.integers(1, 300))) < 0.3, rng.integers(0, 12, n), rng.integers(0, 900, n)).astype("<u2") for _ in range(120)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=65536)
+    idf, mean = np.log(1 + (120 - df + 0.5) / (df + 0.5)), float(np.mean([len(d) for d in docs]))
+    index = Index(docs, idf, mean)
+    assert len(index.matrix) > 3
+    for seed in (0, 7, 119):
+        want = [sum(idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(d) / mean)) for t, c in Counter(d.tolist()).items() if t in set(docs[seed].tolist())) for d in docs]
+        assert np.allclose(index.scores(seed), want)
+    windows, left = plain_packing(docs, idf, mean, 512)
+    got = pack_shard(docs, idf, mean, 512)
+    assert got[: len(windows)] == windows and sum(x[2] for s in got[len(windows) :] for x in s) == sum(x[2] for x in left)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["Some  Text with Capitals\n and blanks ", "", "x"]
+    assert not parts_at_blanks(tokenizer) and parts_at_blanks(Tokenizer.from_file(PATH))
+    assert [x.tolist() for x in encoder(path)([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
