@@ -139,7 +139,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Jaccard similarity of at least similarity, one row with the smallest id stays (null ids come last, and of equal ids
     the smaller text hash first). Rows are told apart by id and text, so ids may repeat or be null. Fingerprints of such
     pairs differ by more bits than blocks can find, so candidates come from ``near_copies``."""
-    key = [F.col(id_col).isNull().alias("_no_id"), F.coalesce(F.col(id_col), F.lit(0)).alias("_id"), F.xxhash64(F.col(text_col)).alias("_t")]
+    names = ["no_id", "id", "t"]
+    key = [F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col), F.lit(0)).alias("id"), F.xxhash64(F.col(text_col)).alias("t")]
     kept = representatives(docs, key, width, similarity, text_col).select("least.*")
-    rows = docs.select("*", *key).dropDuplicates(kept.columns)
-    return rows.join(kept, kept.columns, "left_semi").select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key).dropDuplicates(names)
+    return rows.join(kept, names, "left_semi").select("row.*")

@@ -115,3 +115,10 @@ def test_keep_one_tells_rows_apart_by_id_and_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = [(1, a), (5, b), (7, c), (None, "alone and without an id here")]
     assert sorted(map(repr, map(tuple, keep_one(docs).collect()))) == sorted(map(repr, want))
+
+
+def test_keep_one_carries_columns_of_any_name(spark):
+    docs = odd_docs(spark, ["a text of some words here", "another text of other words"]).selectExpr("*", "1 AS _id", "2 AS _t", "3 AS no_id", "4 AS id", "5 AS t", "6 AS row", "7 AS least")
+    got = keep_one(docs)
+    assert got.columns == docs.columns and len(got.collect()) == 5
+    assert keep_one(no_docs(spark)).count() == 0
