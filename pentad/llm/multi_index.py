@@ -6,8 +6,9 @@ on a bounded sample, give K * K cells, and every row is indexed in its cell. A q
 order of their summed distance with a heap until the cells met hold the wanted number of entries; then its entries are
 reranked by the exact inner product of the original vectors.
 
-The walk needs the codebooks and the K * K cell sizes, of fixed number whatever the input. Entries and the parts of the
-walks that concern them meet by (query block, cell shard); shards and blocks have a bounded size and are dealt by hash.
+The walk needs the codebooks and the K * K cell sizes, of fixed number whatever the input. Neighbouring cells make up
+shards of bounded size; a cell that is larger stands in several. A query goes to the shards that its walk meets, with the
+cells it meets there, and is multiplied with their entries alone.
 
 * Rows with a null id, or vectors null, empty, zero or holding null or non-finite components, or of another than the
   commonest length, take no part;
@@ -31,8 +32,8 @@ from pentad.llm.common import blobs, cut, finite_vector, main_dimension, map_bat
 SAMPLE, CENTROIDS, ROUNDS = 8192, 32, 12
 #: A walk ends when its cells hold this share of all rows, and no fewer than LEAST rows. Vectors without structure, as
 #: those of the tests are, spread a query's neighbours over most cells; clustered ones need a far smaller share.
-SHARE, LEAST = 0.6, 2000
-QUERY_BLOCK, SHARD, LEAST_SHARDS = 4096, 16384, 48
+SHARE, LEAST = 0.65, 100
+QUERY_BLOCK, SHARD, LEAST_SHARDS = 4096, 16384, 24
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
@@ -74,24 +75,50 @@ def walk(first: np.ndarray, second: np.ndarray, held: np.ndarray, wanted: int) -
     return cells
 
 
-def search_shard(q, q_ids, walks, x, x_ids, x_cells, n_cells, k):
-    """The k best entries of the shard for each query among the cells of its walk. A shard's products are made at once;
-    entries outside a query's walk do not count."""
-    out = []
+def shards_of(held: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """By cell: its first shard, and how many it stands in. Cells follow each other into a shard until it is full; a cell
+    larger than a shard has as many of its own as it needs."""
+    first, many, now, room = np.zeros(len(held), np.int64), np.ones(len(held), np.int64), 0, size
+    for c, n in enumerate(held.tolist()):
+        if n > room and room < size:
+            now, room = now + 1, size
+        first[c], many[c] = now, max(1, -(-n // size))
+        if n >= size:
+            now, room = now + int(many[c]), size
+        else:
+            room -= n
+    return first, many
+
+
+def search_shard(q, q_ids, walks, x, x_ids, x_cells, k):
+    """The k best entries of the shard for each query among the cells of its walk, and the number of products made: a
+    query meets the entries of its cells alone."""
+    order = np.argsort(x_cells, kind="stable")
+    x, x_ids, cells = x[order], x_ids[order], x_cells[order]
+    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+    spans = {int(cells[a]): slice(a, b) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(cells)], strict=True)}
+    out, products = [], 0
     for at in range(0, len(q), 512):
-        scores = q[at : at + 512] @ x.T
+        part, asked = q[at : at + 512], {}
+        scores = np.full((len(part), len(x)), -np.inf)
+        for r, walk_cells in enumerate(walks[at : at + 512]):
+            for c in walk_cells.tolist():
+                asked.setdefault(c, []).append(r)
+        for c, rows in asked.items():
+            if c in spans:
+                scores[rows, spans[c]] = part[rows] @ x[spans[c]].T
+                products += len(rows) * (spans[c].stop - spans[c].start)
+        scores[q_ids[at : at + 512, None] == x_ids[None, :]] = -np.inf
         for r, row in enumerate(scores):
             i = at + r
-            met = np.zeros(n_cells, bool)
-            met[walks[i]] = True
-            rows = np.flatnonzero(met[x_cells] & (x_ids != q_ids[i]))
+            rows = np.flatnonzero(row > -np.inf)
             fast = row[rows]
             if len(rows) > k:  # rounding in the fast product must not decide: close ones stay in
                 rows = rows[fast >= np.partition(fast, -k)[-k] - 1e-9 * (1 + np.abs(fast).max())]
             exact = (x[rows] * q[i]).sum(1)
             keep = np.lexsort((x_ids[rows], -exact))[:k]
             out.append((np.full(len(keep), q_ids[i]), x_ids[rows[keep]], exact[keep]))
-    return [np.concatenate(c) for c in zip(*out, strict=True)]
+    return [np.concatenate(c) for c in zip(*out, strict=True)], products
 
 
 def multi_index_search(
@@ -134,20 +161,39 @@ def multi_index_search(
     for r in index.groupBy("cell").count().collect():  # K * K rows at most
         held[r["cell"]] = r["count"]
     wanted = max(least, int(np.ceil(share * n)))
-    shards = max(LEAST_SHARDS, -(-n // SHARD))
+    size = max(1, min(SHARD, -(-n // LEAST_SHARDS)))
+    first, many = shards_of(held, size)
     q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
     def walked(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = matrix(batch.column("vec"), np.float64, d)
         a, b = widened(x, True)
         a, b = distances(a, books[0]), distances(b, books[1])
-        cells = [np.array(walk(a[i], b[i], held, wanted), np.int32).tobytes() for i in range(len(x))]
-        return pa.RecordBatch.from_arrays([batch.column("id"), blobs(x), pa.array(cells, pa.binary())], ["id", "vec", "cells"])
+        at, shard, cells = [], [], []
+        for i in range(len(x)):
+            met = np.sort(np.array(walk(a[i], b[i], held, wanted), np.int32))  # cells in order are shards in order
+            copies = many[met]
+            there = np.repeat(first[met] - np.cumsum(copies) + copies, copies) + np.arange(copies.sum())
+            met = np.repeat(met, copies)
+            order = np.argsort(there, kind="stable")
+            met, there = met[order], there[order]
+            for part in np.split(np.arange(len(met)), np.flatnonzero(np.diff(there)) + 1) if len(met) else []:
+                at.append(i)
+                shard.append(int(there[part[0]]))
+                cells.append(met[part].tobytes())
+        at = np.array(at, np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), blobs(x[at]) if len(at) else pa.array([], pa.binary()), pa.array(shard, pa.int64()), pa.array(cells, pa.binary())], ["id", "vec", "shard", "cells"])
 
     block = F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")
-    asked = map_batches(queries.repartition(LEAST_SHARDS, "id"), walked, "id long, vec binary, cells binary").withColumn("qb", block)
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    entries = index.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards)).cast("int"))
+    asked = map_batches(queries.repartition(LEAST_SHARDS, "id"), walked, "id long, vec binary, shard long, cells binary").withColumn("qb", block)
+
+    def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cell, ids = batch.column("cell").to_numpy(), batch.column("id").to_numpy().view(np.uint64)
+        mixed = (ids ^ (ids >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+        shard = first[cell] + (mixed % many[cell].astype(np.uint64)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "cell", "vec")), pa.array(shard)], ["id", "cell", "vec", "shard"])
+
+    entries = map_batches(index, placed, "id long, cell int, vec binary, shard long")
     entries = entries.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -155,7 +201,7 @@ def multi_index_search(
         if not a.num_rows or not b.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names)
         walks = [np.frombuffer(x, np.int32) for x in a["cells"].to_pylist()]
-        found = search_shard(matrix(a["vec"], np.float64, d), a["id"].to_numpy(), walks, matrix(b["vec"], np.float64, d), b["id"].to_numpy(), b["cell"].to_numpy(), len(held), k)
+        found, _ = search_shard(matrix(a["vec"], np.float64, d), a["id"].to_numpy(), walks, matrix(b["vec"], np.float64, d), b["id"].to_numpy(), b["cell"].to_numpy(), k)
         return pa.table(found, names)
 
     found = asked.groupBy("qb", "shard").cogroup(entries.groupBy("qb", "shard")).applyInArrow(search, "query_id long, vec_id long, score double")

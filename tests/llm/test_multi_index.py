@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from pentad.llm.multi_index import multi_index_search, walk
+from pentad.llm.multi_index import LEAST, SHARE, multi_index_search, search_shard, shards_of, walk
 
 
 def best(rows, q, k):
@@ -49,3 +50,45 @@ def test_walk_order():
     cells = walk(a, b, held, int(held.sum()))
     sums = [a[c // 7] + b[c % 7] for c in cells]
     assert sums == sorted(sums) and set(cells) == set(np.flatnonzero(held).tolist())
+
+
+def test_shards_hold_all_cells():
+    rng = np.random.default_rng(8)
+    for size in (5, 40, 1000):
+        held = rng.integers(0, 60, 50)
+        first, many = shards_of(held, size)
+        load = {}
+        for c, n in enumerate(held.tolist()):
+            for j in range(many[c]):
+                load[first[c] + j] = load.get(first[c] + j, 0) + n / many[c]
+        assert max(load.values()) <= size and (np.diff(first) >= 0).all() and ((many > 1) == (held > size)).all()
+
+
+def test_only_walked_cells_are_multiplied():
+    rng = np.random.default_rng(9)
+    x, q = rng.normal(size=(600, 8)), rng.normal(size=(40, 8))
+    ids, cells = np.arange(600), rng.integers(0, 30, 600)
+    walks = [np.sort(rng.choice(30, rng.integers(0, 12), replace=False)).astype(np.int32) for _ in q]
+    q_ids = np.arange(40) * 20
+    (asked, found, scores), products = search_shard(q, q_ids, walks, x, ids, cells, 5)
+    assert products == sum(int(np.isin(cells, w).sum()) for w in walks) < 0.4 * 600 * 40
+    for i in range(40):
+        mine = [j for j in np.flatnonzero(np.isin(cells, walks[i])) if j != q_ids[i]]
+        want = sorted(((-float((x[j] * q[i]).sum()), j) for j in mine))[:5]
+        assert found[asked == q_ids[i]].tolist() == [j for _, j in want] and np.allclose(scores[asked == q_ids[i]], [-s for s, _ in want])
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall_at_shipped_settings(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, np.float64) for r in df.collect()}
+    ids, x = np.array(sorted(rows)), np.stack([rows[i] for i in sorted(rows)])
+    assert max(LEAST, SHARE * len(ids)) < 0.7 * len(ids)  # a walk skips cells
+    got = {}
+    for r in multi_index_search(df, F.col("vec_id") % 20 == 0, k=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        scores = np.where(ids == q, -np.inf, x @ rows[q])
+        hits += len(found & set(ids[np.argsort(-scores)[:20]].tolist()))
+    assert len(got) == sum(i % 20 == 0 for i in ids) and hits / (20 * len(got)) >= 0.9
