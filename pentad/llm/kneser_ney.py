@@ -4,7 +4,7 @@ A-Z become a-z; tokens are the matches of ``[^\\x20\\x09-\\x0D]+`` in the whole
 64-bit XXH64.
 
 Counting runs in Spark: tasks sum the (context, word) pairs of a few million tokens at a time and deal the sums into
-buckets by a hash of the pair (a context's words go to 16 buckets, so a frequent word does not fill one). A bucket's task
+buckets by a hash of the pair (a context's words go to a quarter of the buckets, so a frequent word does not fill one). A bucket's task
 adds the sums up, writes the pairs as a sorted array of hashes with their counts to the shared folder, and hands on, by
 word, what the lower order needs: totals and numbers of continuations. Those meet in buckets by word, which are written
 the same way. Buckets have a bounded size: there are more of them for more text. Scoring memory-maps the arrays and looks
@@ -18,15 +18,15 @@ words before w, interpolated with 1 / (V + 1), which is also what unknown words
 * without training rows the model gives 1 / (V + 1) = 1 to every token; an empty table gives an empty result;
 * only the id and text columns are read.
 
-A folder that is not on a file system the workers share by path is reached by pyarrow.fs; workers then map a private copy
-whose name is removed at once. Buckets are written under a temporary name and renamed, so repeated tasks do no harm.
+A folder that is not on a file system the workers share by path is reached by pyarrow.fs; workers then hold up to HELD
+bytes of its arrays in memory and read the others again. Buckets are written under a temporary name and renamed, so
+repeated tasks do no harm. The folder goes when all is scored, or when scoring fails.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 
 from pentad.llm.common import LOWER, cut, shared_dir, text_bytes
 
-FLUSH, SPREAD = 1_500_000, 16
-#: Bytes of text for each bucket of pairs, and the least number of buckets; a quarter as many hold words.
+FLUSH, LEAST_SPREAD = 1_500_000, 16
+#: Bytes of text for each bucket of pairs, and the least number of buckets; as many hold words.
 BUCKET_BYTES, LEAST_BUCKETS = 12_000_000, 64
+#: Bytes of arrays that a worker keeps where it cannot map them.
+HELD = 400_000_000
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" <s>", b" </s>"))
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -62,7 +64,7 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def pair_bucket(v: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
-    x = (v ^ (w % np.uint64(SPREAD)) * M2) * M1
+    x = (v ^ (w % np.uint64(max(LEAST_SPREAD, buckets // 4))) * M2) * M1
     return ((x >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
 
 
@@ -100,11 +102,8 @@ def _map(folder: str, name: str, dtype) -> np.ndarray:
         return np.zeros(0, dtype)
     if isinstance(fs, pafs.LocalFileSystem):
         return np.memmap(f"{path}/{name}", dtype, "r")
-    with tempfile.NamedTemporaryFile() as f, fs.open_input_stream(f"{path}/{name}") as source:
-        while block := source.read(1 << 22):
-            f.write(block)
-        f.flush()
-        return np.memmap(f.name, dtype, "r")
+    with fs.open_input_stream(f"{path}/{name}") as source:
+        return np.frombuffer(source.read(), dtype)
 
 
 #: What is kept of a word: total, numbers of words that follow once, twice, more often, number of words before it.
@@ -172,22 +171,22 @@ def build(docs: DataFrame, folder: str, buckets: int, word_buckets: int) -> dict
             # the columns apart: mostly small numbers, which compress well
             out += [(g, keys[s].tobytes(), b"".join(record[name][s].tobytes() for name in STATS.names)) for g, s in spans(at)]
         sums = [int(x.sum()) for x in of]
-        columns = [pa.array([r[i] for r in out] + [x], t) for i, (x, t) in enumerate(((-1 - b, pa.int32()), (b"", pa.binary()), (np.array(sums, "<u8").tobytes(), pa.binary())))]
+        columns = [pa.array([r[i] for r in out] + [x], t) for i, (x, t) in enumerate(((b % word_buckets, pa.int32()), (None, pa.binary()), (np.array(sums, "<u8").tobytes(), pa.binary())))]
         return pa.table(columns, ["bucket", "keys", "stats"])
 
     def words(rows: pa.Table) -> pa.Table:
-        b, sums = rows["bucket"][0].as_py(), np.zeros(11, np.uint64)
-        if b < 0:
-            for x in rows["stats"].to_pylist():
+        b, sums, keys, stats = rows["bucket"][0].as_py(), np.zeros(11, np.uint64), [], []
+        for mine, x in zip(rows["keys"].to_pylist(), rows["stats"].to_pylist(), strict=True):
+            if mine is None:  # the sums of a bucket of pairs
                 sums[:4] += np.frombuffer(x, "<u8")
-        else:
-            keys, stats = [np.frombuffer(x, "<u8") for x in rows["keys"].to_pylist()], []
-            for x, h in zip(rows["stats"].to_pylist(), keys, strict=True):
-                at, columns = 0, []
-                for name in STATS.names:
-                    columns.append(np.frombuffer(x, STATS[name], len(h), at))
-                    at += len(h) * STATS[name].itemsize
-                stats.append(columns)
+                continue
+            h, at, columns = np.frombuffer(mine, "<u8"), 0, []
+            for name in STATS.names:
+                columns.append(np.frombuffer(x, STATS[name], len(h), at))
+                at += len(h) * STATS[name].itemsize
+            keys.append(h)
+            stats.append(columns)
+        if keys:
             h, values = summed(np.concatenate(keys), [np.concatenate([s[i] for s in stats]) for i in range(len(STATS))])
             record = np.zeros(len(h), STATS)
             for name, x in zip(STATS.names, values, strict=True):
@@ -221,12 +220,19 @@ class Model:
     """Probabilities from the mapped arrays."""
 
     def __init__(self, folder: str, buckets: int, word_buckets: int, known: dict):
-        self.folder, self.buckets, self.word_buckets, self.known, self.files = folder, buckets, word_buckets, known, {}
+        self.folder, self.buckets, self.word_buckets, self.known = folder, buckets, word_buckets, known
+        self.files, self.held = OrderedDict(), 0
 
     def array(self, name: str, dtype) -> np.ndarray:
-        if name not in self.files:
-            self.files[name] = _map(self.folder, name, dtype)
-        return self.files[name]
+        if name in self.files:
+            self.files.move_to_end(name)
+            return self.files[name]
+        out = self.files[name] = _map(self.folder, name, dtype)
+        self.held += 0 if isinstance(out, np.memmap) else out.nbytes
+        while self.held > HELD and len(self.files) > 1:
+            _, old = self.files.popitem(last=False)
+            self.held -= 0 if isinstance(old, np.memmap) else old.nbytes
+        return out
 
     def find(self, keys: np.ndarray, at: np.ndarray, names: tuple[str, str], dtype) -> np.ndarray:
         """Values of sorted keys, zero where there is none; at: the keys' buckets."""
@@ -280,13 +286,22 @@ def perplexity_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bodies = text_bytes(docs, id_col, text_col)
     size, texts = bodies.where(~held_out()).agg(F.sum(F.octet_length("body")), F.count(F.lit(1))).first()
     buckets = max(LEAST_BUCKETS, -(-(size or 0) // BUCKET_BYTES))
-    word_buckets = buckets // 4
+    word_buckets = buckets
     root = shared_dir(docs.sparkSession)
     root = root if "://" in root else "file://" + root.removeprefix("file:")
     folder = f"{root}/kneser-ney-{uuid.uuid4().hex}"
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path)
-    known = build(bodies.where(~held_out()), folder, buckets, word_buckets) | {"texts": texts}
+    try:
+        known = build(bodies.where(~held_out()), folder, buckets, word_buckets) | {"texts": texts}
+        scored = cut(_scores(bodies, folder, buckets, word_buckets, known))
+    finally:
+        fs.delete_dir(path)
+    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(known["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
+def _scores(bodies: DataFrame, folder: str, buckets: int, word_buckets: int, known: dict) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score, perplexity, by the model in the folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(folder, buckets, word_buckets, known)
@@ -313,6 +328,4 @@ def perplexity_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if texts:
             yield flush(keys, texts)
 
-    scored = cut(bodies.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double"))
-    fs.delete_dir(path)
-    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(known["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+    return bodies.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
