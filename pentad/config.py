@@ -19,12 +19,16 @@ def _between(name: str, value: int, low: int, high: int | None) -> None:
         raise ValueError(f"{name} is {value}, not in {low}..{high if high is not None else ''}")
 
 
+LAYOUTS = ("flat", "lists", "kmeans", "tree")
+
+
 @dataclass(frozen=True)
 class IndexConfig:
     """How the reference set is laid out."""
 
-    lists: int = 0  # 0: no lists
-    leaves: int = 64  # of a partition
+    layout: str = "tree"  # flat, lists (equal ranges), kmeans or tree
+    lists: int = 0  # 0: as many as references, for the layouts of lists
+    leaf_size: int = 256  # references in a leaf of the tree
     train_rows: int = 131_072
     iterations: int = 3
     window: int = 64
@@ -32,7 +36,9 @@ class IndexConfig:
 
     def __post_init__(self):
         _between("lists", self.lists, 0, None)
-        _between("leaves", self.leaves, 1, 512)
+        _between("leaf_size", self.leaf_size, 8, 512)
+        if self.layout not in LAYOUTS:
+            raise ValueError(f"layout is {self.layout}, not one of {', '.join(LAYOUTS)}")
         _between("train_rows", self.train_rows, 1, None)
         _between("iterations", self.iterations, 0, 32)
         _between("window", self.window, 0, None)

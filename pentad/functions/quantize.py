@@ -42,24 +42,26 @@ def column(name: str, side: str = "") -> Column:
     return F.col(f"{side}.{name}" if side else name).cast("bigint")
 
 
+def real(name: str, side: str = "") -> Column:
+    """The column as a double. Distances are whole and far below 2^53, so doubles hold them; they need no checks for
+    overflow, which would make the generated code too long to be compiled."""
+    return F.col(f"{side}.{name}" if side else name).cast("double")
+
+
 def squared_distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """Of columns of doubles with whole values."""
     total = None
     for x, y in zip(a, b, strict=True):
         d = x - y
         total = d * d if total is None else total + d * d
-    return total
-
-
-def feature_distance(a: str, b: str) -> Column:
-    """Squared distance of the features of two aliased sides."""
-    return squared_distance([column(f, a) for f in FEATURES], [column(f, b) for f in FEATURES])
+    return total.cast("bigint")
 
 
 def box_distance(q: str, box: str) -> Column:
     """Squared distance of a side's features to a box of columns lo0.. and hi0..: no point inside is nearer."""
     total = None
     for i, f in enumerate(FEATURES):
-        x = column(f, q)
-        d = F.greatest(column(f"lo{i}", box) - x, x - column(f"hi{i}", box), F.lit(0).cast("bigint"))
+        x = real(f, q)
+        d = F.greatest(real(f"lo{i}", box) - x, x - real(f"hi{i}", box), F.lit(0.0))
         total = d * d if total is None else total + d * d
-    return total
+    return total.cast("bigint")

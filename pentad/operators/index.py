@@ -1,8 +1,9 @@
 """Laying out a reference set: ref_id, f0..f13, label.
 
-Partitions are the values of an 8-bit key (at most 256). A partition is cut along its widest feature at approximate
-quantiles into leaves; partitions and leaves have bounding boxes. So box tables have at most 256 and 256 * leaves rows
-whatever the input: small enough to broadcast. Lists are equal ranges of the order by projection key.
+Partitions are the values of an 8-bit key (at most 256), the roots of a tree: a node with more than leaf_size references
+is cut along its widest feature, at approximate quantiles, into eight, again and again; all nodes have bounding boxes.
+Leaves have a bounded size, also where many references are equal: those are parted by a hash. Tables of nodes grow with
+the references and are joined, level by level. Lists are equal ranges of the order by projection key.
 """
 
 from __future__ import annotations
@@ -12,10 +13,15 @@ from pyspark.sql import functions as F
 
 from pentad.config import DIMS, FEATURES, IndexConfig
 from pentad.functions import keys
-from pentad.functions.quantize import column, rounded_mean, squared_distance
+from pentad.functions.quantize import column, real, rounded_mean, squared_distance
 from pentad.operators.ranking import with_position
 from pentad.storage import cut
 
+#: Children of a node, at most, and the factor between a node's number and theirs.
+FAN, STEP = 8, 16
+#: Partition 0's node. Numbers of one level are below those of the next: 256 to 511, 4097 to 8184 and so on.
+ROOT, LEVELS = 256, 13
+
 
 def box_columns() -> list[Column]:
     """Aggregates: lo0.., hi0.., n."""
@@ -28,29 +34,44 @@ def partitions(refs: DataFrame) -> DataFrame:
     return refs.groupBy(keys.partition_key().alias("part_id")).agg(*box_columns())
 
 
-def leaf_cuts(refs: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:  # noqa: B008
-    """part_id, axis (the first of the widest features) and cuts: where leaves part along it."""
+def tree(refs: DataFrame, config: IndexConfig = IndexConfig()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """refs with node, their leaf; and the nodes: node, parent (0 for partitions), level, leaf, box and n. Only refs whose
+    features are all known can be found, so only those are in it. Level by level, open nodes are parted."""
+    known = F.lit(True)
+    for f in FEATURES:
+        known = known & F.col(f).isNotNull()
+    rows = refs.select("ref_id", *FEATURES, "label", (keys.partition_key().cast("bigint") + ROOT).alias("node")).where(known)
+    now, done, levels = cut(rows), [], []
     widths = F.array(*(column(f"hi{i}") - column(f"lo{i}") for i in range(DIMS)))
-    axis = (F.array_position(widths, F.array_max(widths)) - 1).cast("int")
-    axes = partitions(refs).select("part_id", axis.alias("axis"))
-    if config.leaves == 1:
-        return axes.withColumn("cuts", F.array().cast("array<smallint>"))
-    along = F.element_at(F.array(*FEATURES), F.col("axis") + 1)
-    parts = [i / config.leaves for i in range(1, config.leaves)]
-    keyed = refs.select(*FEATURES, keys.partition_key().alias("part_id")).join(F.broadcast(axes), "part_id")
-    return keyed.groupBy("part_id").agg(F.first("axis").alias("axis"), F.percentile_approx(along, parts, 10_000).alias("cuts"))
-
-
-def with_leaf(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """rows with part_id and leaf; leaf is null where the partition holds no reference."""
-    along = F.element_at(F.array(*FEATURES), F.col("axis") + 1)
-    leaf = F.aggregate("cuts", F.lit(0), lambda n, e: n + F.when(along >= e, 1).otherwise(0))
-    return rows.withColumn("part_id", keys.partition_key()).join(F.broadcast(cuts), "part_id", "left").withColumn("leaf", leaf).drop("axis", "cuts")
-
-
-def leaves(placed: DataFrame) -> DataFrame:
-    """part_id, leaf, box and n."""
-    return placed.groupBy("part_id", "leaf").agg(*box_columns())
+    lows = F.array(*(column(f"lo{i}") for i in range(DIMS)))
+    while True:
+        boxes = now.groupBy("node").agg(*box_columns()).withColumn("_widths", widths)
+        axis = (F.array_position("_widths", F.array_max("_widths")) - 1).cast("int")
+        level = len(levels)
+        boxes = cut(boxes.withColumn("axis", axis).withColumn("width", F.array_max("_widths")).drop("_widths").withColumn("leaf", (F.col("n") <= config.leaf_size) | F.lit(level == LEVELS)))
+        parent = F.call_function("div", F.col("node") - 1, F.lit(STEP).cast("bigint")) if level else F.lit(0).cast("bigint")
+        levels.append(boxes.withColumn("parent", parent).withColumn("level", F.lit(level)).drop("axis", "width"))
+        open_ = boxes.where(~F.col("leaf")).select("node", "axis", "width", F.element_at(lows, F.col("axis") + 1).alias("low"))
+        if not open_.limit(1).count():
+            done.append(now)
+            break
+        done.append(now.join(open_.select("node"), "node", "left_anti").select(*now.columns))
+        along = F.element_at(F.array(*(column(f) for f in FEATURES)), F.col("axis") + 1)
+        opened = now.join(open_, "node").withColumn("along", along)
+        found = F.percentile_approx("along", [i / FAN for i in range(1, FAN)], 1000)
+        cuts = opened.groupBy("node").agg(F.first("low").alias("low"), found.alias("found"))
+        above = F.array_distinct(F.filter("found", lambda c: c > F.col("low")))
+        cuts = cut(cuts.select("node", F.when(F.size(above) > 0, above).otherwise(F.array(F.col("low") + 1)).alias("cuts")))
+        spread = F.pmod(F.xxhash64("ref_id", F.lit(level)), F.lit(FAN)).cast("int")
+        child = F.when(F.col("width") == 0, spread).otherwise(F.size(F.filter("cuts", lambda c: c <= F.col("along"))))
+        moved = opened.join(cuts, "node").select("ref_id", *FEATURES, "label", (F.col("node") * STEP + child + 1).alias("node"))
+        now = cut(moved)
+    placed, nodes = done[0], levels[0]
+    for more in done[1:]:
+        placed = placed.unionByName(more)
+    for more in levels[1:]:
+        nodes = nodes.unionByName(more)
+    return placed, nodes
 
 
 def with_list(refs: DataFrame, lists: int, n: int | None = None) -> DataFrame:
@@ -73,7 +94,7 @@ def nearest_in_window(rows: DataFrame, centroids: DataFrame, window: int) -> Dat
     equals. centroids: list_id and c0.., one for each list."""
     near = F.broadcast(centroids.select(F.col("list_id").alias("c_list"), *(f"c{i}" for i in range(DIMS))))
     pairs = rows.join(near, F.abs(F.col("c_list") - F.col("list_id")) <= window)
-    d = squared_distance([column(f) for f in FEATURES], [column(f"c{i}") for i in range(DIMS)])
+    d = squared_distance([real(f) for f in FEATURES], [real(f"c{i}") for i in range(DIMS)])
     best = pairs.groupBy("ref_id").agg(F.min(F.struct(d.alias("d"), "c_list"))["c_list"].alias("best"))
     return rows.join(best, "ref_id")
 

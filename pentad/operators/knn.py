@@ -7,19 +7,27 @@ worst (the fifth distance, null if fewer than five). Equal distances go to the s
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+import pentad
 from pentad.config import DIMS, FEATURES, NEIGHBOURS, IndexConfig, SearchConfig
-from pentad.functions.quantize import box_distance, column, feature_distance, squared_distance
+from pentad.functions.quantize import box_distance, real, squared_distance
 from pentad.functions.score import approved, fraud_score
 from pentad.operators import index as layout
 from pentad.storage import cut
 
-#: A reference set of at most so many rows (of 14 small integers) is broadcast to a nested loop.
-BROADCAST_ROWS = 1_000_000
-#: References whose fifth distance bounds a nested loop's candidates.
+# Functions sent to executors carry their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(pentad)
+
+#: References and queries that meet in one piece of work, at most.
+REF_BLOCK, QUERY_BLOCK = 8192, 8192
+#: References whose fifth distance bounds the search of queries whose own leaf holds fewer than five.
 BOUND_ROWS = 512
+ROWS = 512
 
 
 def top(pairs: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -44,49 +52,117 @@ def decisions(voted: DataFrame) -> DataFrame:
     return voted.withColumn("fraud_score", fraud_score(F.col("fraud_count"))).withColumn("approved", approved(F.col("fraud_count")))
 
 
-def _pairs(q: DataFrame, r: DataFrame, on, how_far: str | None = None) -> DataFrame:
-    """query_id, ref_id, label, dist of aliased sides; how_far names a column of q that no distance may exceed."""
-    d = feature_distance("q", "r")
-    if how_far:
-        near = F.col(f"q.{how_far}").isNull() | (d <= F.col(f"q.{how_far}"))
-        on = near if on is None else on & near
-    joined = q.alias("q").crossJoin(r.alias("r")) if on is None else q.alias("q").join(r.alias("r"), on)
-    return joined.where(d.isNotNull()).select("q.query_id", "r.ref_id", "r.label", d.alias("dist"))
+def known(df: DataFrame) -> DataFrame:
+    """The rows whose features are all known: others have no distance to anything."""
+    every = F.lit(True)
+    for f in FEATURES:
+        every = every & F.col(f).isNotNull()
+    return df.where(every)
+
+
+def _near_block(a: pa.Table, b: pa.Table) -> pa.Table:
+    """The nearest references in b (ref_id, f0.., label) of each query in a (query_id, f0.., limit); none beyond limit."""
+    names, kinds = ["query_id", "ref_id", "label", "dist"], [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    if not a.num_rows or not b.num_rows:
+        return pa.table([pa.array([], k) for k in kinds], names)
+    q, r = (np.column_stack([t[f].to_numpy() for f in FEATURES]).astype(np.float64) for t in (a, b))
+    order = np.argsort(b["ref_id"].to_numpy(), kind="stable")
+    r, r_ids, labels = r[order], b["ref_id"].to_numpy()[order], b["label"].to_numpy()[order]
+    q_ids, limit = a["query_id"].to_numpy(), a["limit"].to_numpy()
+    r2, n, out = (r * r).sum(1), len(r), []
+    for at in range(0, len(q), ROWS):
+        part = q[at : at + ROWS]
+        # whole numbers far below 2^53: exact; a distance and the place of its reference make one number
+        d = ((part * part).sum(1)[:, None] + r2 - 2 * (part @ r.T)).astype(np.int64)
+        d = d * n + np.arange(n)
+        if n > NEIGHBOURS:
+            d = np.partition(d, NEIGHBOURS - 1, axis=1)[:, :NEIGHBOURS]
+        i, j = np.nonzero(d // n <= limit[at : at + ROWS, None])
+        found = d[i, j]
+        out.append((q_ids[at + i], r_ids[found % n], labels[found % n], found // n))
+    return pa.table([pa.array(np.concatenate(c)).cast(k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
+def nearest_in(probes: DataFrame, refs: DataFrame, key: str, n_queries: int) -> DataFrame:
+    """query_id, ref_id, label, dist: for every row of probes (query_id, f0.., key, and limit if no distance may exceed it)
+    the five nearest of the references of its key, of which there are REF_BLOCK at most. Queries and references meet in
+    blocks, as matrices; pairs are not made as rows, and references that nobody asks for stay where they are."""
+    if "limit" not in probes.columns:
+        probes = probes.withColumn("limit", F.lit(1 << 62))
+    blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    probes = probes.select("query_id", *FEATURES, key, F.coalesce("limit", F.lit(1 << 62)).alias("limit"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"))
+    met = known(refs).select("ref_id", *FEATURES, F.col("label").cast("int").alias("label"), key)
+    met = met.join(probes.select(F.col(key).alias("_key"), F.col("_block").alias("_of")).distinct(), F.col(key) == F.col("_key")).drop(key)
+    both = probes.groupBy(key, "_block").cogroup(met.groupBy("_key", "_of"))
+    return both.applyInArrow(_near_block, "query_id long, ref_id long, label int, dist long")
 
 
 def flat(queries: DataFrame, refs: DataFrame) -> DataFrame:
-    """Compares all pairs in a nested loop over broadcast references. A first pass over a few references gives each query
-    a distance that its five nearest cannot exceed; only pairs within it are ranked. With more references than may be
-    broadcast, the certified search answers instead, with the same result."""
-    refs = refs.select("ref_id", *FEATURES, "label")
-    if refs.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return certified(queries, refs)
-    few = refs.orderBy(F.xxhash64("ref_id")).limit(BOUND_ROWS)
-    bound = votes(top(_pairs(queries, F.broadcast(few), None))).select("query_id", F.col("worst").alias("bound"))
-    bounded = queries.select("query_id", *FEATURES).join(bound, "query_id", "left")
-    return answered(queries, votes(top(_pairs(bounded, F.broadcast(refs), F.lit(True), "bound"))))
+    """Compares all pairs, in blocks of a bounded number of queries and references."""
+    asked, refs = cut(known(queries.select("query_id", *FEATURES))), known(refs.select("ref_id", *FEATURES, "label"))
+    n = max(1, -(-refs.count() // REF_BLOCK))
+    refs = refs.withColumn("part", F.pmod(F.xxhash64("ref_id"), F.lit(n)).cast("int"))
+    probes = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return answered(queries, votes(top(nearest_in(probes, refs, "part", asked.count()))))
 
 
 def certified(queries: DataFrame, refs: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:  # noqa: B008
-    """Exact, by partitions: the fifth distance within a query's own leaf bounds the search, and only leaves whose boxes
-    are not farther are joined, by equality. A box at the bound itself counts, since a tie goes to the smaller ref_id."""
-    refs = refs.select("ref_id", *FEATURES, "label")
-    cuts = F.broadcast(cut(layout.leaf_cuts(refs, config)))
-    placed = cut(layout.with_leaf(refs, cuts))
-    boxes = F.broadcast(cut(layout.leaves(placed).drop("n")))
-    asked = layout.with_leaf(queries.select("query_id", *FEATURES), cuts)
-    same = (F.col("q.part_id") == F.col("r.part_id")) & (F.col("q.leaf") == F.col("r.leaf"))
-    home = votes(top(_pairs(asked, placed, same))).select("query_id", F.col("worst").alias("bound"))
-    bounded = cut(asked.drop("part_id", "leaf").join(home, "query_id", "left"))
-    reach = F.col("q.bound").isNull() | (box_distance("q", "b") <= F.col("q.bound"))
-    probes = bounded.alias("q").join(boxes.alias("b"), reach).select("q.*", "b.part_id", "b.leaf")
-    return answered(queries, votes(top(_pairs(probes, placed, same, "bound"))))
+    """Exact, by the tree of leaves; see ``tree_search``."""
+    placed, nodes = layout.tree(refs, config)
+    return tree_search(queries, placed, nodes)
+
+
+def tree_search(queries: DataFrame, placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Exact: a query goes down the tree to its nearest leaf, whose fifth distance bounds the search; then from the roots
+    to all leaves whose boxes are not farther. A box at the bound itself counts, since a tie goes to the smaller ref_id.
+    Every level is a join of the queries' nodes with their children."""
+    asked = cut(known(queries.select("query_id", *FEATURES)))
+    n, deepest = asked.count(), nodes.agg(F.max("level")).first()[0]
+    if deepest is None:
+        return answered(queries, votes(top(nearest_in(asked.withColumn("node", F.lit(0)), placed, "node", n))))
+    box = [*(f"lo{i}" for i in range(DIMS)), *(f"hi{i}" for i in range(DIMS))]
+    levels = [nodes.where(F.col("level") == k).select("node", "parent", "leaf", *box) for k in range(deepest + 1)]
+
+    def below(at: DataFrame, level: int) -> DataFrame:
+        """The children, with their distances, of the nodes in at; of all roots (256 at most) on level 0."""
+        if level:
+            joined = at.withColumnRenamed("node", "_up").alias("q").join(levels[level].alias("b"), F.col("_up") == F.col("b.parent"))
+        else:
+            joined = at.alias("q").crossJoin(F.broadcast(levels[0]).alias("b"))
+        return joined.select("q.query_id", *(f"q.{f}" for f in FEATURES), *([F.col("q.limit")] if "limit" in at.columns else []), F.col("b.node").alias("node"), F.col("b.leaf").alias("leaf"), box_distance("q", "b").alias("_d"))
+
+    nearest, at = [], asked
+    for level in range(deepest + 1):
+        best = below(at, level).groupBy("query_id").agg(F.min(F.struct("_d", "node", "leaf")).alias("best")).select("query_id", "best.node", "best.leaf")
+        best = cut(asked.join(best, "query_id"))
+        nearest.append(best.where("leaf").drop("leaf"))
+        at = best.where("NOT leaf").drop("leaf")
+    home = nearest[0]
+    for more in nearest[1:]:
+        home = home.unionByName(more)
+    found = cut(nearest_in(home, placed, "node", n))
+    limits = votes(top(found)).select("query_id", F.col("worst").alias("limit"))
+    open_ = cut(asked.join(home.select("query_id", F.col("node").alias("home")), "query_id").join(limits, "query_id", "left"))
+    if open_.where("limit IS NULL").limit(1).count():  # a small leaf: some references bound the search
+        few = placed.orderBy(F.xxhash64("ref_id"), "ref_id").limit(BOUND_ROWS).withColumn("node", F.lit(0).cast("bigint"))
+        some = votes(top(nearest_in(open_.where("limit IS NULL").withColumn("node", F.lit(0).cast("bigint")).drop("limit"), few, "node", n)))
+        open_ = cut(open_.join(some.select("query_id", F.col("worst").alias("_some")), "query_id", "left").withColumn("limit", F.coalesce("limit", "_some")).drop("_some"))
+    probes, at = [], open_
+    for level in range(deepest + 1):
+        reached = cut(below(at, level).where(F.col("limit").isNull() | (F.col("_d") <= F.col("limit"))).drop("_d"))
+        probes.append(reached.where("leaf").drop("leaf"))
+        at = reached.where("NOT leaf").drop("leaf")
+    wanted = probes[0]
+    for more in probes[1:]:
+        wanted = wanted.unionByName(more)
+    wanted = wanted.join(open_.select("query_id", F.col("home").alias("node")), ["query_id", "node"], "left_anti")
+    return answered(queries, votes(top(found.unionByName(nearest_in(wanted, placed, "node", n)))))
 
 
 def list_ranks(queries: DataFrame, lists: DataFrame, boxes: bool, k: int) -> DataFrame:
     """query_id, f0.., list_id, n, lower, rank (from 1): a query's first k lists, by the distance to their boxes, then to
     their centroids (boxes: False: centroids alone), then number."""
-    centre = squared_distance([column(f, "q") for f in FEATURES], [column(f"c{i}", "l") for i in range(DIMS)])
+    centre = squared_distance([real(f, "q") for f in FEATURES], [real(f"c{i}", "l") for i in range(DIMS)])
     lower = box_distance("q", "l") if boxes else centre
     pairs = queries.alias("q").crossJoin(F.broadcast(lists).alias("l"))
     pairs = pairs.select("q.query_id", *(f"q.{f}" for f in FEATURES), "l.list_id", "l.n", lower.alias("lower"), centre.alias("centre"))
@@ -102,21 +178,30 @@ def staged(queries: DataFrame, listed: DataFrame, lists: DataFrame, search: Sear
     worst and what happened: fast_fraud, fast_worst, fast_certified, repaired, repair_certified, exact_fallback,
     lists_fast, lists_repair, lists_exact, vectors_fast, vectors_repair, vectors_exact."""
     queries = cut(queries.select("query_id", *FEATURES))
-    n_lists = lists.count()
+    n_lists, longest = lists.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
     nprobe = min(search.nprobe, n_lists)
     repair = max(min(search.repair_nprobe, n_lists), nprobe)
     ranks = cut(list_ranks(queries, lists, boxes, n_lists if search.exact_fallback and boxes else min(repair + 1, n_lists)))
-
-    def scan(only: DataFrame | None, upto: int, first: int = 1) -> DataFrame:
-        probes = ranks.where(F.col("rank") <= upto)
+    n = queries.count()
+    # a long list is searched in parts
+    parts = max(1, -(-longest // REF_BLOCK))
+    listed = listed.withColumn("_part", F.col("list_id").cast("bigint") * parts + F.pmod(F.xxhash64("ref_id"), F.lit(parts)))
+
+    def scan(only: DataFrame | None, upto: int, first: int = 1, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """What the lists from rank first to upto add to the nearest found before; and the nearest so far."""
+        probes = ranks.where(F.col("rank").between(first, upto))
         probes = probes if only is None else probes.join(only.select("query_id"), "query_id", "left_semi")
-        voted = votes(top(_pairs(probes, listed, F.col("q.list_id") == F.col("r.list_id"))))
-        new = F.col("rank") >= first
-        spent = probes.groupBy("query_id").agg(F.count_if(new).alias("lists"), F.coalesce(F.sum(F.when(new, F.col("n"))), F.lit(0)).alias("vectors"))
+        each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        found = nearest_in(known(probes).withColumn("_p", each).withColumn("_part", F.col("list_id").cast("bigint") * parts + F.col("_p")), listed, "_part", n)
+        if before is not None:
+            found = found.unionByName(before.join(only.select("query_id"), "query_id", "left_semi").select(*found.columns))
+        near = cut(top(found))
+        spent = probes.groupBy("query_id").agg(F.count(F.lit(1)).alias("lists"), F.coalesce(F.sum("n"), F.lit(0)).alias("vectors"))
         following = ranks.where(F.col("rank") == upto + 1).select("query_id", F.col("lower").alias("next"))
-        out = spent.join(voted, "query_id", "left").join(following, "query_id", "left")
+        out = spent.join(votes(near), "query_id", "left").join(following, "query_id", "left")
         sure = F.lit(upto >= n_lists) if not boxes else F.lit(upto >= n_lists) | F.coalesce(F.col("worst") < F.col("next"), F.lit(False))
-        return out.withColumn("fraud_count", F.coalesce("fraud_count", F.lit(0).cast("bigint"))).withColumn("certified", sure).drop("next")
+        out = out.withColumn("fraud_count", F.coalesce("fraud_count", F.lit(0).cast("bigint"))).withColumn("certified", sure).drop("next")
+        return cut(out), near
 
     def open_(df: DataFrame) -> DataFrame:
         """Queries that go on to the next stage."""
@@ -126,11 +211,13 @@ def staged(queries: DataFrame, listed: DataFrame, lists: DataFrame, search: Sear
         early = F.lit(search.early_distance != 0) & (worst <= search.early_distance)
         return df.where(~F.col("certified") & ~early & near)
 
-    fast = cut(scan(None, nprobe))
-    more = open_(fast)
-    repaired = cut(scan(more, repair, nprobe + 1)) if repair > nprobe else None
-    rest = more if repaired is None else open_(repaired)
-    exact = cut(scan(rest, n_lists, (repair if repaired is not None else nprobe) + 1)) if search.exact_fallback and boxes else None
+    fast, near = scan(None, nprobe)
+    more, repaired, exact = open_(fast), None, None
+    if repair > nprobe:
+        repaired, near = scan(more, repair, nprobe + 1, near)
+        more = open_(repaired)
+    if search.exact_fallback and boxes:
+        exact, _ = scan(more, n_lists, repair + 1, near)
 
     out = queries.select("query_id").join(fast, "query_id", "left")
     out = out.select("query_id", F.coalesce("fraud_count", F.lit(0).cast("bigint")).alias("fast_fraud"), F.col("worst").alias("fast_worst"), F.coalesce("certified", F.lit(False)).alias("fast_certified"), F.coalesce("lists", F.lit(0)).alias("lists_fast"), F.coalesce("vectors", F.lit(0)).alias("vectors_fast"))
@@ -164,6 +251,16 @@ def ivf_kmeans(queries: DataFrame, refs: DataFrame, index: IndexConfig, search:
     return staged(queries, listed, cut(lists), search, boxes=False)
 
 
+def stored(queries: DataFrame, tables: dict[str, DataFrame], search: SearchConfig = SearchConfig()) -> DataFrame:  # noqa: B008
+    """query_id, fraud_count, worst: searches an index as ``readers.stored_index`` returns it, by its layout."""
+    if "nodes" in tables:
+        return tree_search(queries, tables["refs"], tables["nodes"])
+    if "lists" in tables:
+        lists = tables["lists"]
+        return staged(queries, tables["refs"], lists, search, boxes="lo0" in lists.columns).select("query_id", "fraud_count", "worst")
+    return flat(queries, tables["refs"])
+
+
 def with_shortcuts(queries: DataFrame, refs: DataFrame, search: SearchConfig, index: IndexConfig = IndexConfig()) -> DataFrame:  # noqa: B008
     """query_id, fraud_count, shortcut: pure buckets answer where they may, the certified search the other queries."""
     from pentad.operators.buckets import shortcut_votes

@@ -94,10 +94,9 @@ def tx_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tx_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A hundredth of the events ask, the others are the references."""
+    """Every event asks, all events are the references."""
     rows = cut(transaction_features(table(spark, sf_dir, "events")))
-    asks = F.col("event_id") % 100 == 0
-    return rows.where(asks).withColumnRenamed("event_id", "query_id").drop("label"), rows.where(~asks).withColumnRenamed("event_id", "ref_id")
+    return rows.withColumnRenamed("event_id", "query_id").drop("label"), rows.withColumnRenamed("event_id", "ref_id")
 
 
 def tx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +107,6 @@ def tx_scores_nested_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.decisions(knn.flat(*_tx_sides(spark, sf_dir)))
 
 
-def tx_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event asks, all events are the references."""
-    rows = cut(transaction_features(table(spark, sf_dir, "events")))
-    return knn.decisions(knn.certified(rows.withColumnRenamed("event_id", "query_id").drop("label"), rows.withColumnRenamed("event_id", "ref_id")))
-
-
 def decision_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_certified(spark, sf_dir).select("query_id", response(F.col("fraud_count")).alias("response"))
 
@@ -256,7 +249,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         knn_vote, knn_certified, knn_ivf, knn_ivf_all_lists, knn_kmeans_all_lists, knn_ivf_staged, search_counters, stream_votes, tx_features, tx_scores,
-        tx_scores_nested_loop, tx_scores_all, decision_json, replay_histogram, confusion, mismatch_sample, vector_keys, partition_summary, list_summary, kmeans_lists,
+        tx_scores_nested_loop, decision_json, replay_histogram, confusion, mismatch_sample, vector_keys, partition_summary, list_summary, kmeans_lists,
         profile_buckets, quantile_edges, shortcut_votes, quantisers, mcc_lookup, marker_scan, score_law, run_summary, participant_summary, lower_median,
         representative_run, archive_rows, clean_candidates, latest_by_kind, paging, head_to_head, promotion_gate, http_requests,
     )

@@ -9,7 +9,7 @@ from pentad import schemas
 from pentad.config import DIMS, FEATURES, SCALE
 from pentad.functions.quantize import reference_value
 
-INDEX_VERSION = 1
+INDEX_VERSION = 2
 
 
 def references(spark: SparkSession, path: str) -> DataFrame:
@@ -70,8 +70,19 @@ def official_results(comments: DataFrame, body: str, repo_url: str) -> DataFrame
 
 
 def stored_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables that writers.write_index wrote. Another version, number of features or scale raises."""
+    """The tables that writers.write_index wrote. Another version, number of features or scale raises, and so do tables that
+    do not have the rows that the layout asks for."""
     meta = spark.read.json(f"{path}/meta").first()
     if (meta["version"], meta["dims"], meta["scale"]) != (INDEX_VERSION, DIMS, SCALE):
         raise ValueError(f"index of version {meta['version']}, {meta['dims']} features, scale {meta['scale']}")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in meta["tables"]}
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in meta["tables"]}
+    rows = tables["refs"].count()
+    sized = {"tree": ("nodes", "leaf"), "lists": ("lists", "true"), "kmeans": ("lists", "true")}.get(meta["layout"])
+    if sized:
+        name, of = sized
+        held = tables[name].where(of).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if name in tables else None
+        if held != rows:
+            raise ValueError(f"{name} of {held} references, of which there are {rows}")
+    if rows != meta["rows"]:
+        raise ValueError(f"{rows} references instead of {meta['rows']}")
+    return tables

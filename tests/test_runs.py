@@ -46,7 +46,7 @@ def test_confusion(spark):
 
 
 def test_knobs_raise():
-    for bad in (dict(leaves=0), dict(iterations=33), dict(min_support=(0, 1, 1, 1))):
+    for bad in (dict(leaf_size=7), dict(layout="heap"), dict(iterations=33), dict(min_support=(0, 1, 1, 1))):
         with pytest.raises(ValueError):
             IndexConfig(**bad)
     for bad in (dict(nprobe=0), dict(repair_max=6), dict(early_milli=2001), dict(worst_thresholds=(0,))):

@@ -86,7 +86,7 @@ def test_searches_agree(spark, seed):
     asked = queries(spark, [point(rng.choice(centres)) for _ in range(60)])
     want = {r.query_id: (r.fraud_count, r.worst) for r in knn.flat(asked, table).collect()}
     exact = SearchConfig(nprobe=2, repair_nprobe=4, repair_min=0, repair_max=5)
-    for got in (knn.certified(asked, table), knn.certified(asked, table, IndexConfig(leaves=1)), knn.ivf(asked, table, IndexConfig(lists=12), exact)):
+    for got in (knn.certified(asked, table), knn.certified(asked, table, IndexConfig(leaf_size=8)), knn.ivf(asked, table, IndexConfig(lists=12), exact)):
         assert {r.query_id: (r.fraud_count, r.worst) for r in got.collect()} == want
     quick = knn.ivf(asked, table, IndexConfig(lists=12), SearchConfig(nprobe=4, repair_nprobe=4, exact_fallback=False)).collect()
     sure = [r for r in quick if r.fast_certified]
@@ -100,9 +100,44 @@ def test_lists_and_leaves_cover_rows_once(spark):
         sizes = [r["n"] for r in index.with_list(table, lists).groupBy("list_id").agg(F.count(F.lit(1)).alias("n")).orderBy("list_id").collect()]
         m = min(lists, 101)
         assert sizes == [(i + 1) * 101 // m - i * 101 // m for i in range(m)]
-    placed = index.with_leaf(table, index.leaf_cuts(table, IndexConfig(leaves=4)))
-    assert placed.count() == 101 and placed.where("leaf IS NULL").count() == 0
-    assert index.leaves(placed).agg(F.sum("n")).first()[0] == 101
+
+
+@pytest.mark.parametrize("kind", ["spread", "equal", "two values", "one far"])
+def test_tree_covers_rows_once(spark, kind):
+    rng = random.Random(4)
+    rows = {
+        "spread": [[rng.randrange(-10000, 10001) for _ in FEATURES] for _ in range(1500)],
+        "equal": [[7] * DIMS] * 900,
+        "two values": [[5] * 13 + [int(i % 50 == 0)] for i in range(900)],
+        "one far": [[0] * DIMS] * 300 + [[1] + [0] * 13] + [[9000] * DIMS],
+    }[kind]
+    table = refs(spark, [(v, 0) for v in rows])
+    placed, nodes = index.tree(table, IndexConfig(leaf_size=16))
+    got = {r.ref_id: r for r in placed.collect()}
+    boxes = {r.node: r for r in nodes.collect()}
+    assert sorted(got) == list(range(len(rows))) and sum(b.n for b in boxes.values() if b.leaf) == len(rows)
+    assert all(b.n <= 16 for b in boxes.values() if b.leaf) and all(b.parent in boxes for b in boxes.values() if b.level)
+    for r in got.values():
+        assert all(boxes[r.node][f"lo{i}"] <= r[f] <= boxes[r.node][f"hi{i}"] for i, f in enumerate(FEATURES)) and boxes[r.node].leaf
+    asked = queries(spark, rows[:20] + [[100] * DIMS])
+    want = {r.query_id: (r.fraud_count, r.worst) for r in knn.flat(asked, table).collect()}
+    assert {r.query_id: (r.fraud_count, r.worst) for r in knn.tree_search(asked, placed, nodes).collect()} == want
+
+
+def test_blocks_of_queries_and_references(spark, monkeypatch):
+    rng = random.Random(5)
+    table = refs(spark, [([rng.randrange(0, 40) for _ in FEATURES], rng.randrange(2)) for _ in range(300)])
+    asked = queries(spark, [[rng.randrange(0, 40) for _ in FEATURES] for _ in range(70)])
+    x = np.array([[r[f] for f in FEATURES] for r in table.orderBy("ref_id").collect()], np.int64)
+    labels = [r.label for r in table.orderBy("ref_id").collect()]
+    for size in (7, 8192):
+        monkeypatch.setattr(knn, "REF_BLOCK", size)
+        monkeypatch.setattr(knn, "QUERY_BLOCK", size)
+        for search in (knn.flat, knn.certified):
+            for r in search(asked, table).join(asked, "query_id").collect():
+                d = ((x - np.array([r[f] for f in FEATURES])) ** 2).sum(1)
+                near = np.lexsort((np.arange(300), d))[:5]
+                assert (r.fraud_count, r.worst) == (sum(labels[j] for j in near), int(d[near].max()))
 
 
 def test_early_distance_stops(spark):
@@ -115,7 +150,7 @@ def test_every_event_is_scored(spark):
     sf = "/root/testdata/sf0.001"
     rows = sorted(transaction_features(spark.read.parquet(f"{sf}/events.parquet")).collect(), key=lambda r: r.event_id)
     x = np.array([[r[f] for f in FEATURES] for r in rows], np.int64)
-    got = {r.query_id: r.fraud_count for r in library.tx_scores_all(spark, sf).collect()}
+    got = {r.query_id: r.fraud_count for r in library.tx_scores(spark, sf).collect()}
     assert set(got) == {r.event_id for r in rows}
     for i, r in enumerate(rows):
         if r.valid:

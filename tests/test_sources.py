@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pentad.config import FEATURES, IndexConfig
+from pentad.config import FEATURES, IndexConfig, SearchConfig
 from pentad.operators import knn, runs, text
 from pentad.sources import readers, writers
 from pentad.streaming.scoring import request_stream, score_requests, score_stream
@@ -28,16 +28,26 @@ def test_expected_answers(spark, tmp_path):
     assert [(r.expected, r.value) for r in got] == [(3, request()), (0, "x\ty")]
 
 
-def test_index_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("layout", ["flat", "lists", "kmeans", "tree"])
+def test_index_round_trip(spark, tmp_path, layout):
     table = refs(spark, [(1000, 0)] * 16 + [(0, 1), (1, 0), (2, 1), (3, 0), (4, 1)] + [(1000, 0)] * 11)
-    writers.write_index(table, str(tmp_path / "i"), IndexConfig(lists=2, min_support=(1, 1, 1, 1)))
-    tables = readers.stored_index(spark, str(tmp_path / "i"))
-    assert {"refs", "parts", "leaves", "cuts", "lists", "profile", "edges", "purity_1", "purity_2"} == set(tables)
-    assert knn.certified(queries(spark, [[0] * 14]), tables["refs"]).first()["fraud_count"] == 3
-    assert tables["parts"].agg(F.sum("n")).first()[0] == 32 == tables["lists"].agg(F.sum("n")).first()[0]
-    spark.createDataFrame([(9, 14, 10000, ["refs"])], "version int, dims int, scale int, tables array<string>").write.mode("overwrite").json(str(tmp_path / "i/meta"))
+    path = str(tmp_path / "i")
+    writers.write_index(table, path, IndexConfig(layout=layout, lists=2, leaf_size=8, min_support=(1, 1, 1, 1)))
+    tables = readers.stored_index(spark, path)
+    own = {"flat": set(), "lists": {"lists"}, "kmeans": {"lists"}, "tree": {"nodes"}}[layout]
+    built = set() if layout == "kmeans" else {"parts", "profile", "edges", "purity_1", "purity_2"}
+    assert {"refs"} | own | built == set(tables)
+    asked = queries(spark, [[0] * 14, [1000] + [0] * 13])
+    got = {r.query_id: r.fraud_count for r in knn.stored(asked, tables, SearchConfig(nprobe=2)).collect()}
+    assert got == {0: 3, 1: 0}
+    if built:
+        assert tables["parts"].agg(F.sum("n")).first()[0] == 32
+    table.limit(5).withColumn("node", F.lit(0)).withColumn("list_id", F.lit(0)).write.mode("overwrite").parquet(f"{path}/refs")
     with pytest.raises(ValueError):
-        readers.stored_index(spark, str(tmp_path / "i"))
+        readers.stored_index(spark, path)
+    spark.createDataFrame([(9, 14, 10000, ["refs"])], "version int, dims int, scale int, tables array<string>").write.mode("overwrite").json(f"{path}/meta")
+    with pytest.raises(ValueError):
+        readers.stored_index(spark, path)
 
 
 def report(score, kind, p99="0.36ms", failures="0%"):
@@ -55,6 +65,7 @@ def test_archive(spark, tmp_path):
     assert rows.agg(F.count_if(runs.clean_candidate())).first()[0] == 2
     writers.write_archive(spark, str(tmp_path / "r-*.json"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/index")).count() == 3
+    assert [r.file for r in spark.read.json(str(tmp_path / "out/latest-candidate")).collect()] == ["r-1.json"]
 
 
 def test_comparisons(spark, tmp_path):
