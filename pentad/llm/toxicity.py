@@ -45,6 +45,8 @@ WINDOW, ROUNDS = 4, ((6, 32768), (3, 32768), (2, 16384), (1, 8192))
 ORDINARY_BYTES, CODE, LEAST = 122_880, 3, 4
 #: Of ordinary windows, so many may be priced lower than a window that goes on to the next round.
 ODD = 0.01
+#: One in so many of those ordinary pieces is priced for that.
+GAUGE = 4
 #: Of the labelled texts, one in so many is kept for the fit of the thresholds' weights.
 KEPT = 4
 #: Scores that count as toxic, for the verdict and for what the pipeline drops.
@@ -127,10 +129,11 @@ class Gains:
         a, b = self.ordinary, self.both
         if self.search is None:
             return [len(a(w)) - len(b(w)) for w in spelt]
-        ends = np.cumsum([len(w) for w in spelt])
-        hits = np.fromiter((end for end, _ in self.search.iter(b"".join(spelt).decode("latin-1"))), np.int64)
+        ends = np.cumsum([0, *map(len, spelt)])
+        last, size = np.array([*self.search.iter(b"".join(spelt).decode("latin-1"))], np.int64).reshape(-1, 2).T
+        at = np.searchsorted(ends, last, "right") - 1
         out = [0] * len(spelt)
-        for i in np.unique(np.searchsorted(ends, hits, "right")).tolist():
+        for i in np.unique(at[last - size + 1 >= ends[at]]).tolist():  # those that begin in the window where they end
             out[i] = len(a(spelt[i])) - len(b(spelt[i]))
         return out
 
@@ -201,7 +204,7 @@ def odd_windows(lots: DataFrame, n: int, ordinary: bytes, toxic: list[bytes]) ->
         for b in batches:
             found, usual = [], Counter()
             for piece, y, half in zip(*(b.column(c).to_pylist() for c in ("piece", "toxic", "half")), strict=True):
-                if y == 1 or half == 1:
+                if y == 1 or half == 1 and zlib.crc32(piece) % GAUGE == 0:
                     spelt = windows(piece.split(), n)
                     got = gains[1 - half].of(spelt)
                     if y == 1:
