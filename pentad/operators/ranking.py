@@ -23,3 +23,12 @@ def with_position(df: DataFrame, order: list[Column], name: str = "pos") -> Data
 def pages(df: DataFrame, order: list[Column], size: int = 5) -> DataFrame:
     """df with page (from 0), size rows on each in this order."""
     return with_position(df, order, "_pos").withColumn("page", F.call_function("div", F.col("_pos"), F.lit(size).cast("bigint"))).drop("_pos")
+
+
+def with_rank(df: DataFrame, group: str, order: list[Column], name: str = "rank", size: str = "size") -> DataFrame:
+    """df with each row's place in its group (from 0) and the group's size, from places in the order of all: no group is
+    sorted by one task."""
+    laid = with_position(df, [F.col(group), *order], "_at")
+    spans = laid.groupBy(F.col(group).alias("_group")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias(size))
+    joined = laid.join(spans, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.withColumn(name, F.col("_at") - F.col("_first")).drop("_at", "_first", "_group")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pentad.functions.score import detection_score, p99_score, parse_ms, weighted_errors
+from pentad.operators.ranking import with_rank
+from pentad.storage import cut
 
 CLEAN_SCORE, STRONG_MS, STRETCH_MS, NEAR_MS, WORSE_MS = 6000.0, 0.03, 0.27, 0.03, 0.05
 
@@ -31,13 +33,19 @@ def _no_errors() -> Column:
     return (F.col("false_positive_detections") == 0) & (F.col("false_negative_detections") == 0) & (F.col("http_errors") == 0)
 
 
+def _middle(size: str) -> Column:
+    """The place of the lower median."""
+    return F.call_function("div", F.col(size) - 1, F.lit(2).cast("bigint"))
+
+
 def run_summary(runs: DataFrame, group: str, value: str, order: list[str], clean: Column) -> DataFrame:
     """For each group: runs, min, median (mean of the middle two), max, latest value (last in order), clean (all are)."""
     v = F.col(value)
-    return runs.groupBy(group).agg(
-        F.count(F.lit(1)).alias("runs"), F.min(v).alias("min"), F.median(v).alias("median"), F.max(v).alias("max"),
-        F.max_by(v, F.struct(*order)).alias("latest"), F.bool_and(clean).alias("clean"),
-    )
+    out = runs.groupBy(group).agg(F.count(F.lit(1)).alias("runs"), F.min(v).alias("min"), F.max(v).alias("max"), F.max_by(v, F.struct(*order)).alias("latest"), F.bool_and(clean).alias("clean"))
+    ranked = with_rank(runs.where(v.isNotNull()).select(F.col(group).alias("_of"), v.alias("_v")), "_of", [F.col("_v")])
+    middle = ranked.where((F.col("rank") == _middle("size")) | (F.col("rank") == F.call_function("div", F.col("size"), F.lit(2).cast("bigint"))))
+    middle = middle.groupBy("_of").agg(((F.min("_v") + F.max("_v")) / 2).alias("median"))
+    return out.join(middle, F.col(group).eqNullSafe(F.col("_of")), "left").select(group, "runs", "min", "median", "max", "latest", "clean")
 
 
 def participant_summary(results: DataFrame) -> DataFrame:
@@ -47,25 +55,18 @@ def participant_summary(results: DataFrame) -> DataFrame:
 
 
 def lower_medians(runs: DataFrame, group: str, value: str) -> DataFrame:
-    """For each group: min, lower median (place (n - 1) div 2 from 0) and max. By rank in the group, not by gathering it."""
-    w = Window.partitionBy(group)
-    ranked = runs.where(F.col(value).isNotNull()).select(group, F.col(value).alias("v"), F.row_number().over(w.orderBy(value)).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
-    middle = F.max(F.when(F.col("rn") == F.call_function("div", F.col("n") - 1, F.lit(2).cast("bigint")) + 1, F.col("v")))
+    """For each group: min, lower median (place (n - 1) div 2 from 0) and max."""
+    ranked = with_rank(runs.where(F.col(value).isNotNull()).select(group, F.col(value).alias("v")), group, [F.col("v")])
+    middle = F.max(F.when(F.col("rank") == _middle("size"), F.col("v")))
     return ranked.groupBy(group).agg(F.min("v").alias("min"), middle.alias("lower_median"), F.max("v").alias("max"))
 
 
 def representative(runs: DataFrame, group: str, score: str, p99: str, run: str) -> DataFrame:
     """The run of each group that stands for it: of those with the lower median score, the lower median p99."""
-
-    def keep(df: DataFrame, order: list[str], n: str) -> DataFrame:
-        w = Window.partitionBy(group)
-        df = df.withColumn("_rn", F.row_number().over(w.orderBy(*order))).withColumn(n, F.count(F.lit(1)).over(w))
-        return df.withColumn("_mid", F.call_function("div", F.col(n) - 1, F.lit(2).cast("bigint")) + 1)
-
-    by_score = keep(runs, [score, run], "_n")
-    median = F.max(F.when(F.col("_rn") == F.col("_mid"), F.col(score))).over(Window.partitionBy(group))
-    same = by_score.withColumn("_median", median).where(F.col(score) == F.col("_median")).drop("_rn", "_mid", "_n")
-    return keep(same, [p99, run], "_n").where(F.col("_rn") == F.col("_mid")).drop("_rn", "_mid", "_n", "_median")
+    by_score = cut(with_rank(runs, group, [F.col(score), F.col(run)], "_rank", "_size"))
+    median = by_score.where(F.col("_rank") == _middle("_size")).select(F.col(group).alias("_of"), F.col(score).alias("_median"))
+    same = by_score.drop("_rank", "_size").join(median, F.col(group).eqNullSafe(F.col("_of")) & (F.col(score) == F.col("_median"))).drop("_of", "_median")
+    return with_rank(same, group, [F.col(p99), F.col(run)], "_rank", "_size").where(F.col("_rank") == _middle("_size")).drop("_rank", "_size")
 
 
 def archive_rows(reports: DataFrame) -> DataFrame:

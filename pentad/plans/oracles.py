@@ -128,12 +128,45 @@ def _purity(t: int) -> str:
     return f"WITH {REFS}, {_edges()}, k AS (SELECT {' + '.join(key)} AS key, label FROM refs) SELECT key::BIGINT AS key, least(count(*), 65535)::BIGINT AS cnt, bit_or(CASE WHEN label = 1 THEN 2 ELSE 1 END)::BIGINT AS mask FROM k GROUP BY key HAVING count(*) >= 1 AND bit_or(CASE WHEN label = 1 THEN 2 ELSE 1 END) < 3"
 
 
-SCORE_POINTS = "(VALUES (54058, 300, 407, 0, 0.93), (54059, 0, 1, 0, 0.45), (54058, 41, 7, 0, 0.35), (52488, 0, 0, 52196, 2001.82), (54100, 0, 0, 0, 1.44), (54100, 0, 0, 0, 0.16)) t(n, fp, fn, http, p99)"
-ROUNDS = "(VALUES (1, 'a', 0.29, 0.45, true), (2, 'a', 0.32, 0.47, true), (3, 'a', 0.38, 0.59, false), (1, 'b', 0.29, 0.32, true), (2, 'b', 0.32, 0.30, true), (3, 'b', 0.26, 0.25, true)) t(round, rival, ours, theirs, clean)"
-GATE = "(VALUES (1, 0.34, 0.35, 0.36, true), (2, 0.31, 0.33, 0.30, true), (3, 0.36, 0.37, 0.38, true)) t(round, ours, rival_a, rival_b, clean)"
-COMPARED = "(VALUES (1, 'x', '0.29ms', 6000.0, 0, 0, 0), (2, 'x', '0.41', 6000.0, 0, 0, 0), (1, 'y', '0.61ms', 6000.0, 0, 0, 0), (2, 'y', '0.30 ms', 5819.38, 0, 1, 0)) t(seq, participant, p99, final_score, false_positive_detections, false_negative_detections, http_errors)"
-HTTP = "(VALUES ('GET', '/ready', 'Host: a'), ('POST', '/fraud-score', 'Content-Length: 12'), ('POST', '/ready', 'content-length:7'), ('GET', '/x', 'Content-Length: z')) t(method, path, header)"
-ARCHIVE = "(VALUES ('r-1', 'candidate', NULL, '0.36ms', '0%', 6000.0, 0, 0, 0), ('r-3', 'experiment', 'native', '0.45ms', '0%', 5819.38, 0, 0, 1), ('r-2', NULL, NULL, '0.35ms', '0.09%', 5400.67, 0, 41, 7)) t(file, kind, mode, p99, failure_rate, final_score, http, fp, fn)"
+#: Stand-ins for benchmark runs and requests: columns of orders and events that both engines read.
+_THOUSANDTHS = "CAST({} AS DOUBLE) / 1000"
+STAND_INS = {
+    "score_points": ("orders", [
+        "o_orderkey", "50000 + o_custkey % 5000 AS n", "o_orderkey % 50 AS fp", "o_orderkey % 7 AS fn",
+        "CASE WHEN o_orderkey % 11 = 0 THEN 30000 ELSE o_orderkey % 3 END AS http", "CAST(16 + o_orderkey * 37 % 250000 AS DOUBLE) / 100 AS p99",
+    ]),
+    "compared": ("orders", [
+        "o_orderkey AS seq", "o_orderpriority AS participant",
+        "CAST(16 + o_orderkey * 13 % 997 AS STRING) || CASE o_orderkey % 3 WHEN 0 THEN 'ms' WHEN 1 THEN '' ELSE ' ms' END AS p99",
+        "CAST(CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 0 THEN 5819.38 ELSE 6000 END AS DOUBLE) AS final_score",
+        "CASE WHEN o_orderpriority = '2-HIGH' AND o_custkey % 9 = 0 THEN 1 ELSE 0 END AS false_positive_detections", "0 AS false_negative_detections", "0 AS http_errors",
+    ]),
+    "archive": ("orders", [
+        "'r-' || CAST(100000000 + o_orderkey AS STRING) AS file", "CASE o_orderkey % 4 WHEN 0 THEN 'experiment' WHEN 1 THEN NULL ELSE 'candidate' END AS kind",
+        "CASE WHEN o_orderkey % 6 = 0 THEN 'native' END AS mode", "CAST(o_orderkey % 90 AS STRING) || 'ms' AS p99",
+        "CASE WHEN o_orderkey % 10 = 0 THEN '0.09%' ELSE '0%' END AS failure_rate", "CAST(CASE WHEN o_orderkey % 5 = 0 THEN 5819.38 ELSE 6000 END AS DOUBLE) AS final_score",
+        "CASE WHEN o_custkey % 13 = 0 THEN 1 ELSE 0 END AS http", "CASE WHEN o_custkey % 17 = 0 THEN 2 ELSE 0 END AS fp", "o_custkey % 2 AS fn",
+    ]),
+    "rounds": ("orders", [
+        "o_orderkey AS round", "o_orderpriority AS rival", f"{_THOUSANDTHS.format('16 + o_orderkey * 13 % 997')} AS ours",
+        f"{_THOUSANDTHS.format('60 + o_custkey * 7 % 991')} AS theirs", "o_orderkey % 3 <> 0 AS clean",
+    ]),
+    "gate": ("orders", [
+        "o_orderkey AS round", f"{_THOUSANDTHS.format('16 + o_orderkey * 13 % 997')} AS ours", f"{_THOUSANDTHS.format('60 + o_custkey * 7 % 991')} AS rival_a",
+        f"{_THOUSANDTHS.format('90 + o_custkey * 11 % 983')} AS rival_b", "o_orderkey % 3 <> 0 AS clean",
+    ]),
+    "http": ("events", [
+        "event_id", "CASE WHEN event_id % 3 = 0 THEN 'GET' ELSE 'POST' END AS method", "CASE event_id % 5 WHEN 0 THEN '/ready' WHEN 1 THEN '/x' ELSE '/fraud-score' END AS path",
+        "CASE event_id % 4 WHEN 0 THEN 'Host: a' WHEN 1 THEN 'Content-Length: ' || CAST(user_id AS STRING) WHEN 2 THEN 'content-length:' || CAST(event_id AS STRING) ELSE 'Content-Length: z' END AS header",
+    ]),
+}
+
+
+def _stand_in(name: str) -> str:
+    source, columns = STAND_INS[name]
+    return f"(SELECT {', '.join(columns)} FROM {source})"
+
+
 MARKERS = ("idiot", "worthless", "License", "@", "| ")
 
 SQL = {
@@ -143,6 +176,14 @@ SQL = {
     "knn_ivf_all_lists": KNN,
     "knn_kmeans_all_lists": KNN,
     "stream_votes": KNN,
+    "stored_tree": KNN,
+    "stored_lists": KNN,
+    "stored_kmeans": KNN,
+    "stored_flat": KNN,
+    "references_json": f"WITH {REFS} SELECT row_number() OVER (ORDER BY ref_id) - 1 AS ref_id, * EXCLUDE (ref_id) FROM refs",
+    "golden_check": f"""{TX_SCORES.removesuffix(DECISIONS)}, j AS (SELECT *, query_id % 6 AS expected FROM votes)
+        SELECT count(*) AS total, count(*) FILTER (expected < 3 AND fraud_count >= 3) AS false_positives, count(*) FILTER (expected >= 3 AND fraud_count < 3) AS false_negatives,
+        count(*) FILTER (expected <> fraud_count) AS mismatches, 0::BIGINT AS vectorize_errors, """ + ", ".join(f"count(*) FILTER (fraud_count = {i}) AS bucket_{i}" for i in range(6)) + " FROM j",
     "tx_features": f"WITH {TX} SELECT event_id, {COLUMNS}, label, valid FROM tx",
     "tx_scores": TX_SCORES,
     "tx_scores_nested_loop": TX_SCORES,
@@ -165,20 +206,20 @@ SQL = {
     "quantisers": f"SELECT vec_id, {_reference('embedding[1]::DOUBLE * 3')} AS reference_value, {_request('embedding[1]::DOUBLE * 3')} AS request_value FROM embeddings",
     "mcc_lookup": "SELECT event_id, CASE event_type WHEN 'click' THEN 1500 WHEN 'error' THEN 8500 WHEN 'purchase' THEN 2000 WHEN 'signup' THEN 4500 WHEN 'view' THEN 3000 ELSE 5000 END AS risk FROM events",
     "marker_scan": "SELECT * FROM (SELECT doc_id, array_to_string([m for m in [" + ", ".join(f"'{m}'" for m in MARKERS) + "] if contains(text, m)], ',') AS found FROM documents) WHERE found <> ''",
-    "score_law": f"""WITH s AS (SELECT *, (fp + 3 * fn + 5 * http)::DOUBLE AS e FROM {SCORE_POINTS}), d AS (SELECT *, CASE WHEN (fp + fn + http) / n > 0.15 THEN -3000.0 ELSE 1000 * log10(1 / greatest(e / n, 0.001)) - 300 * log10(1 + e) END AS detection,
+    "score_law": f"""WITH s AS (SELECT *, (fp + 3 * fn + 5 * http)::DOUBLE AS e FROM {_stand_in('score_points')}), d AS (SELECT *, CASE WHEN (fp + fn + http) / n > 0.15 THEN -3000.0 ELSE 1000 * log10(1 / greatest(e / n, 0.001)) - 300 * log10(1 + e) END AS detection,
         CASE WHEN p99 > 2000 THEN -3000.0 ELSE least(3000, 1000 * log10(1000 / p99::DOUBLE)) END AS p99_score FROM s)
-        SELECT n, fp, fn, http, e::BIGINT AS weighted_errors, round(detection, 2)::DOUBLE AS detection, round(p99_score, 2)::DOUBLE AS p99_score, round(detection + p99_score, 2)::DOUBLE AS final FROM d""",
+        SELECT o_orderkey, n, fp, fn, http, e::BIGINT AS weighted_errors, round(detection, 2)::DOUBLE AS detection, round(p99_score, 2)::DOUBLE AS p99_score, round(detection + p99_score, 2)::DOUBLE AS final FROM d""",
     "run_summary": "SELECT o_orderpriority, count(*) AS runs, min(o_totalprice) AS min, median(o_totalprice) AS median, max(o_totalprice) AS max, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS latest, bool_and(o_totalprice > 1000) AS clean FROM orders GROUP BY 1",
-    "participant_summary": f"WITH p AS (SELECT *, regexp_replace(lower(trim(p99)), '\\s*ms$', '')::DOUBLE AS ms FROM {COMPARED}) SELECT participant, count(*) AS runs, min(ms) AS min, median(ms) AS median, max(ms) AS max, arg_max(ms, seq) AS latest, bool_and(final_score = 6000 AND false_positive_detections = 0 AND false_negative_detections = 0 AND http_errors = 0) AS clean FROM p GROUP BY 1",
+    "participant_summary": f"WITH p AS (SELECT *, regexp_replace(lower(trim(p99)), '\\s*ms$', '')::DOUBLE AS ms FROM {_stand_in('compared')}) SELECT participant, count(*) AS runs, min(ms) AS min, median(ms) AS median, max(ms) AS max, arg_max(ms, seq) AS latest, bool_and(final_score = 6000 AND false_positive_detections = 0 AND false_negative_detections = 0 AND http_errors = 0) AS clean FROM p GROUP BY 1",
     "lower_median": "WITH r AS (SELECT o_orderpriority, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderpriority, min(v) AS min, max(v) FILTER (rn = (n - 1) // 2 + 1) AS lower_median, max(v) AS max FROM r GROUP BY 1",
     "representative_run": """WITH a AS (SELECT o_orderpriority, o_orderkey, o_custkey % 5 AS score, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey % 5, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
         m AS (SELECT o_orderpriority, score FROM a WHERE rn = (n - 1) // 2 + 1), s AS (SELECT a.*, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS rm, count(*) OVER (PARTITION BY o_orderpriority) AS k FROM a JOIN m USING (o_orderpriority, score))
         SELECT o_orderpriority, o_orderkey, score, o_totalprice FROM s WHERE rm = (k - 1) // 2 + 1""",
-    "archive_rows": f"SELECT file, coalesce(kind, 'candidate') AS report_kind, coalesce(mode, 'docker') AS benchmark_k6_mode, p99, failure_rate, final_score::DOUBLE AS final_score, http AS http_errors, fp AS false_positive_detections, fn AS false_negative_detections FROM {ARCHIVE}",
-    "clean_candidates": f"SELECT count(*) FILTER (failure_rate = '0%' AND fp = 0 AND fn = 0 AND http = 0) AS clean FROM {ARCHIVE}",
+    "archive_rows": f"SELECT file, coalesce(kind, 'candidate') AS report_kind, coalesce(mode, 'docker') AS benchmark_k6_mode, p99, failure_rate, final_score::DOUBLE AS final_score, http AS http_errors, fp AS false_positive_detections, fn AS false_negative_detections FROM {_stand_in('archive')}",
+    "clean_candidates": f"SELECT count(*) FILTER (failure_rate = '0%' AND fp = 0 AND fn = 0 AND http = 0) AS clean FROM {_stand_in('archive')}",
     "latest_by_kind": "SELECT max(event_id) AS latest, max(event_id) FILTER (event_type = 'purchase') AS latest_candidate FROM events",
     "paging": "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1) // 5 AS page FROM orders",
-    "head_to_head": f"SELECT rival, count(*) AS rounds, count(*) FILTER (ours < theirs) * 3 >= count(*) * 2 AS wins, count(*) >= 3 AND median(theirs) - median(ours) >= 0.03 AS strong, bool_or(clean AND ours <= 0.27) AS stretch FROM {ROUNDS} GROUP BY 1",
-    "promotion_gate": f"SELECT count(*) FILTER (clean) AS clean_rounds, median(ours)::DOUBLE AS median, count(*) FILTER (clean) >= 3 AND median(ours) <= least(median(rival_a), median(rival_b)) AND count(*) FILTER (ours - rival_a > 0.05 AND ours - rival_b > 0.05) < 2 AS promoted FROM {GATE}",
-    "http_requests": f"SELECT method, path, CASE WHEN method = 'GET' AND path LIKE '/ready%' THEN 'ready' WHEN method = 'POST' AND path LIKE '/fraud-score%' THEN 'score' ELSE 'missing' END AS route, coalesce(try_cast(regexp_extract(header, '(?i)^content-length:\\s*([0-9]+)', 1) AS BIGINT), 0) AS content_length FROM {HTTP}",
+    "head_to_head": f"SELECT rival, count(*) AS rounds, count(*) FILTER (ours < theirs) * 3 >= count(*) * 2 AS wins, count(*) >= 3 AND round(median(theirs) - median(ours), 9) >= 0.03 AS strong, bool_or(clean AND ours <= 0.27) AS stretch FROM {_stand_in('rounds')} GROUP BY 1",
+    "promotion_gate": f"SELECT count(*) FILTER (clean) AS clean_rounds, median(ours)::DOUBLE AS median, count(*) FILTER (clean) >= 3 AND median(ours) <= least(median(rival_a), median(rival_b)) AND count(*) FILTER (round(ours - rival_a, 9) > 0.05 AND round(ours - rival_b, 9) > 0.05) < 2 AS promoted FROM {_stand_in('gate')}",
+    "http_requests": f"SELECT event_id, method, path, CASE WHEN method = 'GET' AND path LIKE '/ready%' THEN 'ready' WHEN method = 'POST' AND path LIKE '/fraud-score%' THEN 'score' ELSE 'missing' END AS route, coalesce(try_cast(regexp_extract(header, '(?i)^content-length:\\s*([0-9]+)', 1) AS BIGINT), 0) AS content_length FROM {_stand_in('http')}",
 }

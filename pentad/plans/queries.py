@@ -15,8 +15,12 @@ from pentad.functions.quantize import reference_value, request_value
 from pentad.functions.score import response
 from pentad.operators import buckets, evaluate, index, knn, ranking, runs, text
 from pentad.plans import oracles
-from pentad.plans.tables import EVENT_MCC, references, table, transaction_features
-from pentad.storage import cut, shared_dir
+from pentad.plans.tables import EVENT_MCC, references, table, transaction_features, transactions
+from pentad.sources.readers import expected_answers, stored_index
+from pentad.sources.readers import references as references_of_file
+from pentad.sources.writers import write_index
+from pentad.storage import cut, tables_dir
+from pentad.streaming.scoring import check_answers
 
 LISTS = 16
 
@@ -27,10 +31,10 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return refs.withColumnRenamed("ref_id", "query_id").drop("label"), refs
 
 
-def _literal(spark: SparkSession, values: str, kinds: str) -> DataFrame:
-    """The rows of a VALUES list, with columns of these types."""
-    rows = spark.sql(f"SELECT * FROM {values}")
-    return rows.select(*(F.col(c).cast(t).alias(c) for c, t in zip(rows.columns, kinds.split(), strict=True)))
+def _stand_in(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Benchmark runs or requests made of the columns of a whole table."""
+    source, columns = oracles.STAND_INS[name]
+    return table(spark, sf_dir, source).selectExpr(*columns)
 
 
 def _wide(df: DataFrame) -> DataFrame:
@@ -79,7 +83,7 @@ def stream_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replay as a stream: batches are searched and written by batch number, then read back."""
     queries, refs = _sides(spark, sf_dir)
     stored = table(spark, sf_dir, "embeddings")
-    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{tables_dir(spark)}/stream-{uuid.uuid4().hex}"
     arriving = references(spark.readStream.schema(stored.schema).parquet(f"{sf_dir}/embeddings.parquet*")).withColumnRenamed("ref_id", "query_id").drop("label")
 
     def batch(rows: DataFrame, number: int) -> None:
@@ -89,6 +93,41 @@ def stream_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/votes").drop("batch")
 
 
+def _stored(config: IndexConfig, search: SearchConfig) -> Callable[[SparkSession, str], DataFrame]:
+    """Every reference asks an index that was written and read again."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        queries, refs = _sides(spark, sf_dir)
+        path = f"{tables_dir(spark)}/{config.layout}-{uuid.uuid4().hex}"
+        write_index(refs, path, config)
+        return knn.decisions(knn.stored(queries, stored_index(spark, path), search))
+
+    return query
+
+
+def references_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The references as a file of records of 14 numbers and a label, read again."""
+    refs = table(spark, sf_dir, "embeddings").orderBy("vec_id")
+    vector = F.transform(F.slice("embedding", 1, DIMS), lambda x: x.cast("double"))
+    record = F.struct(vector.alias("vector"), F.when(F.col("label") >= 5, "fraud").otherwise("legit").alias("label"))
+    path = f"{tables_dir(spark)}/references-{uuid.uuid4().hex}"
+    # the format is one array in one file
+    rows = refs.agg(F.sort_array(F.collect_list(F.struct("vec_id", record.alias("r")))).alias("all"))
+    rows.select(F.to_json(F.transform("all", lambda x: x["r"]))).write.text(path)
+    return _wide(references_of_file(spark, path))
+
+
+def golden_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of expected answer and request, one for each event, read again, scored against all events and judged."""
+    events = cut(transactions(table(spark, sf_dir, "events")))
+    fields = ("id", "transaction", "customer", "merchant", "terminal", "last_transaction")
+    body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    path = f"{tables_dir(spark)}/expected-{uuid.uuid4().hex}"
+    events.select(F.concat((F.col("event_id") % 6).cast("string"), F.lit("\t"), body)).write.text(path)
+    refs = transaction_features(table(spark, sf_dir, "events")).withColumnRenamed("event_id", "ref_id")
+    return evaluate.confusion(check_answers(expected_answers(spark, path), refs, strict=True))
+
+
 def tx_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(transaction_features(table(spark, sf_dir, "events")))
 
@@ -184,8 +223,8 @@ def marker_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_law(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = runs.scored(_literal(spark, oracles.SCORE_POINTS, "bigint bigint bigint bigint double"))
-    return out.select("n", "fp", "fn", "http", "weighted_errors", *(F.round(c, 2).alias(c) for c in ("detection", "p99_score", "final")))
+    out = runs.scored(_stand_in(spark, sf_dir, "score_points"))
+    return out.select("o_orderkey", "n", "fp", "fn", "http", "weighted_errors", *(F.round(c, 2).alias(c) for c in ("detection", "p99_score", "final")))
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +232,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def participant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.participant_summary(_literal(spark, oracles.COMPARED, "bigint string string double bigint bigint bigint"))
+    return runs.participant_summary(_stand_in(spark, sf_dir, "compared"))
 
 
 def lower_median(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,9 +244,9 @@ def representative_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.representative(orders, "o_orderpriority", "score", "o_totalprice", "o_orderkey")
 
 
-def _reports(spark: SparkSession) -> DataFrame:
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports as the reader returns them."""
-    r = _literal(spark, oracles.ARCHIVE, "string string string string string double bigint bigint bigint")
+    r = _stand_in(spark, sf_dir, "archive")
     none = F.lit(None).cast("string")
     meta = F.struct(*(none.alias(c) for c in ("timestamp", "sha", "short_sha", "run_id", "run_url", "image", "html_report")), F.col("kind").alias("report_kind"), F.col("mode").alias("benchmark_k6_mode"))
     errors = F.struct(F.col("http").alias("http_errors"), F.col("fp").alias("false_positive_detections"), F.col("fn").alias("false_negative_detections"))
@@ -216,11 +255,11 @@ def _reports(spark: SparkSession) -> DataFrame:
 
 
 def archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.archive_rows(_reports(spark)).drop("timestamp", "sha", "short_sha", "run_id", "run_url", "image", "html_report")
+    return runs.archive_rows(_reports(spark, sf_dir)).drop("timestamp", "sha", "short_sha", "run_id", "run_url", "image", "html_report")
 
 
 def clean_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.archive_rows(_reports(spark)).agg(F.count_if(runs.clean_candidate()).alias("clean"))
+    return runs.archive_rows(_reports(spark, sf_dir)).agg(F.count_if(runs.clean_candidate()).alias("clean"))
 
 
 def latest_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,16 +272,16 @@ def paging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def head_to_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.head_to_head(_literal(spark, oracles.ROUNDS, "int string double double boolean"))
+    return runs.head_to_head(_stand_in(spark, sf_dir, "rounds"))
 
 
 def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.promotion_gate(_literal(spark, oracles.GATE, "int double double double boolean"))
+    return runs.promotion_gate(_stand_in(spark, sf_dir, "gate"))
 
 
 def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _literal(spark, oracles.HTTP, "string string string")
-    return rows.select("method", "path", text.route(F.col("method"), F.col("path")).alias("route"), text.content_length(F.col("header")).alias("content_length"))
+    rows = _stand_in(spark, sf_dir, "http")
+    return rows.select("event_id", "method", "path", text.route(F.col("method"), F.col("path")).alias("route"), text.content_length(F.col("header")).alias("content_length"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -251,8 +290,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         knn_vote, knn_certified, knn_ivf, knn_ivf_all_lists, knn_kmeans_all_lists, knn_ivf_staged, search_counters, stream_votes, tx_features, tx_scores,
         tx_scores_nested_loop, decision_json, replay_histogram, confusion, mismatch_sample, vector_keys, partition_summary, list_summary, kmeans_lists,
         profile_buckets, quantile_edges, shortcut_votes, quantisers, mcc_lookup, marker_scan, score_law, run_summary, participant_summary, lower_median,
-        representative_run, archive_rows, clean_candidates, latest_by_kind, paging, head_to_head, promotion_gate, http_requests,
+        references_json, golden_check, representative_run, archive_rows, clean_candidates, latest_by_kind, paging, head_to_head, promotion_gate, http_requests,
     )
-} | {"purity_buckets_1": _purity(1), "purity_buckets_2": _purity(2)}
+} | {
+    "purity_buckets_1": _purity(1), "purity_buckets_2": _purity(2), "stored_tree": _stored(IndexConfig(leaf_size=64), EXACT),
+    "stored_lists": _stored(IndexConfig(layout="lists", lists=LISTS), EXACT), "stored_kmeans": _stored(IndexConfig(layout="kmeans", lists=LISTS), SearchConfig(nprobe=LISTS)),
+    "stored_flat": _stored(IndexConfig(layout="flat"), EXACT),
+}
 SQL = oracles.SQL
 assert set(SQL) <= set(QUERIES) and len(FEATURES) == DIMS

@@ -16,6 +16,7 @@ from pentad.config import FEATURES
 from pentad.functions.features import with_features
 from pentad.operators import knn
 from pentad.sources.readers import requests
+from pentad.storage import cut
 
 
 def score_requests(lines: DataFrame, refs: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame] = knn.certified, strict: bool = False) -> DataFrame:
@@ -26,6 +27,13 @@ def score_requests(lines: DataFrame, refs: DataFrame, search: Callable[[DataFram
     return knn.decisions(knn.answered(parsed, found)).join(parsed.select("query_id", "valid"), "query_id")
 
 
+def check_answers(answers: DataFrame, refs: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame] = knn.certified, strict: bool = False) -> DataFrame:
+    """query_id, expected, fraud_count and valid for lines of expected (a count of fraud labels) and value (a request's
+    JSON), as ``readers.expected_answers`` returns them: what ``evaluate.confusion`` and ``mismatches`` judge."""
+    lines = cut(answers.withColumn("query_id", F.monotonically_increasing_id()))
+    return score_requests(lines, refs, search, strict).join(lines.select("query_id", "expected"), "query_id")
+
+
 def request_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """Lines of text files as they come, max_files at a time: query_id from the file and the line's text."""
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
