@@ -120,12 +120,25 @@ def _edges() -> str:
     return "edges AS (" + " UNION ALL ".join(parts) + ")"
 
 
-def _purity(t: int) -> str:
+def _purity_key(t: int) -> str:
     key, shift = [], 0
     for place, (f, bits) in enumerate(PURITY_FIELDS[t]):
         key.append(f"((SELECT count(*) FROM edges e WHERE e.purity_table = {t} AND e.place = {place} AND e.bin < {2**bits - 1} AND refs.f{f} >= e.edge) << {shift})")
         shift += bits
-    return f"WITH {REFS}, {_edges()}, k AS (SELECT {' + '.join(key)} AS key, label FROM refs) SELECT key::BIGINT AS key, least(count(*), 65535)::BIGINT AS cnt, bit_or(CASE WHEN label = 1 THEN 2 ELSE 1 END)::BIGINT AS mask FROM k GROUP BY key HAVING count(*) >= 1 AND bit_or(CASE WHEN label = 1 THEN 2 ELSE 1 END) < 3"
+    return " + ".join(key)
+
+
+def _pure(least: int) -> str:
+    return f"SELECT key::BIGINT AS key, least(count(*), 65535)::BIGINT AS cnt, bit_or(CASE WHEN label = 1 THEN 2 ELSE 1 END)::BIGINT AS mask FROM %s GROUP BY key HAVING count(*) >= {least} AND bit_or(CASE WHEN label = 1 THEN 2 ELSE 1 END) < 3"
+
+
+def _purity(t: int) -> str:
+    return f"WITH {REFS}, {_edges()}, k AS (SELECT {_purity_key(t)} AS key, label FROM refs) {_pure(1) % 'k'}"
+
+
+PURITY_VOTES = f"""WITH {REFS}, {QUERIES}, {_votes()}, {_edges()}, k1 AS (SELECT ref_id, {_purity_key(1)} AS key, label FROM refs), k2 AS (SELECT ref_id, {_purity_key(2)} AS key, label FROM refs),
+    p1 AS ({_pure(2) % 'k1'}), p2 AS ({_pure(2) % 'k2'}), s AS (SELECT k1.ref_id, coalesce(p1.mask, p2.mask) AS mask FROM k1 JOIN k2 USING (ref_id) LEFT JOIN p1 ON p1.key = k1.key LEFT JOIN p2 ON p2.key = k2.key)
+    SELECT query_id, CASE mask WHEN 1 THEN 0 WHEN 2 THEN 5 ELSE fraud_count END AS fraud_count, mask IS NOT NULL AS shortcut FROM votes JOIN s ON s.ref_id = query_id"""
 
 
 #: Stand-ins for benchmark runs and requests: columns of orders and events that both engines read.
@@ -203,6 +216,7 @@ SQL = {
     "purity_buckets_2": _purity(2),
     "shortcut_votes": f"""WITH {REFS}, {QUERIES}, {_votes()}, k AS (SELECT ref_id, {PROFILE} AS key, label FROM refs), p AS (SELECT key, count(*) AS cnt, bit_or(CASE WHEN label = 1 THEN 2 ELSE 1 END) AS mask FROM k GROUP BY key)
         SELECT query_id, CASE WHEN cnt >= 2 AND mask = 1 THEN 0 WHEN cnt >= 2 AND mask = 2 THEN 5 ELSE fraud_count END AS fraud_count, cnt >= 2 AND mask < 3 AS shortcut FROM votes JOIN k ON k.ref_id = query_id JOIN p USING (key)""",
+    "purity_votes": PURITY_VOTES,
     "quantisers": f"SELECT vec_id, {_reference('embedding[1]::DOUBLE * 3')} AS reference_value, {_request('embedding[1]::DOUBLE * 3')} AS request_value FROM embeddings",
     "mcc_lookup": "SELECT event_id, CASE event_type WHEN 'click' THEN 1500 WHEN 'error' THEN 8500 WHEN 'purchase' THEN 2000 WHEN 'signup' THEN 4500 WHEN 'view' THEN 3000 ELSE 5000 END AS risk FROM events",
     "marker_scan": "SELECT * FROM (SELECT doc_id, array_to_string([m for m in [" + ", ".join(f"'{m}'" for m in MARKERS) + "] if contains(text, m)], ',') AS found FROM documents) WHERE found <> ''",

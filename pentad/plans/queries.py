@@ -208,6 +208,11 @@ def shortcut_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.with_shortcuts(*_sides(spark, sf_dir), SearchConfig(profile_shortcut=True, profile_min=(2, 2)))
 
 
+def purity_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pure buckets of table 1, then 2, answer where they may, the search the rest."""
+    return knn.with_shortcuts(*_sides(spark, sf_dir), SearchConfig(purity_shortcut=True, purity_answers=(True,) * 4), IndexConfig(min_support=(2, 2, 2, 2)))
+
+
 def quantisers(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("embedding")[0].cast("double") * 3
     return _wide(table(spark, sf_dir, "embeddings").select("vec_id", reference_value(x).alias("reference_value"), request_value(x).alias("request_value")))
@@ -289,7 +294,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         knn_vote, knn_certified, knn_ivf, knn_ivf_all_lists, knn_kmeans_all_lists, knn_ivf_staged, search_counters, stream_votes, tx_features, tx_scores,
         tx_scores_nested_loop, decision_json, replay_histogram, confusion, mismatch_sample, vector_keys, partition_summary, list_summary, kmeans_lists,
-        profile_buckets, quantile_edges, shortcut_votes, quantisers, mcc_lookup, marker_scan, score_law, run_summary, participant_summary, lower_median,
+        profile_buckets, quantile_edges, shortcut_votes, purity_votes, quantisers, mcc_lookup, marker_scan, score_law, run_summary, participant_summary, lower_median,
         references_json, golden_check, representative_run, archive_rows, clean_candidates, latest_by_kind, paging, head_to_head, promotion_gate, http_requests,
     )
 } | {
