@@ -6,8 +6,8 @@ XXH64 values (seed 42) have it. Fingerprints that differ in at most 3 bits are l
 
 The 64 bits are cut into six blocks. Two fingerprints within 3 bits differ in at most three blocks, so they agree on at
 least three: they meet under one of the 20 choices of three blocks, keys of 31 to 33 bits. Equal fingerprints are one
-node from the start. A key's fingerprints are split into chunks of bounded size; every pair of chunks is compared in
-one place, and only a spanning forest of the links found there goes on. So a large group of near copies costs neither a
+node from the start. A key's fingerprints are split into chunks of bounded size, larger ones for larger keys, so that a
+fingerprint goes to few places; every pair of chunks is compared in one place, and only a spanning forest of the links found there goes on. So a large group of near copies costs neither a
 large task nor a row for each pair, and no link between different components is lost.
 
 * Null, empty and blank texts have fingerprint zero and are linked like any other;
@@ -32,7 +32,8 @@ from pentad.llm.near_copies import representatives
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 BLOCK_BITS = (11, 11, 11, 11, 10, 10)
-CHUNK = 512
+#: Fingerprints of a chunk, and chunks of a key until chunks have their full size.
+CHUNK, FULL_CHUNK, CHUNKS = 512, 8192, 64
 #: The pipeline's rule for near copies: op8's three words and three bits bind that query alone.
 KEEP_WIDTH, KEEP_SIMILARITY = 5, 0.8
 
@@ -76,24 +77,20 @@ def masks(bits: tuple[int, ...] = BLOCK_BITS, differing: int = MAX_BITS) -> list
     return [m - (1 << 64) if m >> 63 else m for m in every]
 
 
-def spanning_links(low: np.ndarray, high: np.ndarray, same: bool, most: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Links that connect what is connected among two chunks, at most one for each fingerprint."""
-    if same and len(low) == 2:
-        return [(int(low[0]), int(low[1]))] if int(low[0] ^ low[1]).bit_count() <= most else []
-    nodes = low if same else np.concatenate((low, high))
-    close = np.bitwise_count(nodes[:, None] ^ nodes[None, :]) <= most
-    left, links = np.ones(len(nodes), bool), []
-    for start in range(len(nodes)):
-        if not left[start]:
-            continue
-        left[start], queue = False, [start]
-        while queue:
+def spanning_links(low: np.ndarray, high: np.ndarray, most: int = MAX_BITS) -> list[tuple[int, int]]:
+    """Links that connect what is connected among the fingerprints of both sides, at most one for each fingerprint. Every
+    one found leaves the rest, so the work is quadratic only where hardly any are linked; memory is linear."""
+    rest, found = np.concatenate((low, high)), []
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
             at = queue.pop()
-            new = np.flatnonzero(close[at] & left)
-            left[new] = False
-            queue.extend(new.tolist())
-            links += [(int(nodes[at]), int(nodes[x])) for x in new]
-    return links
+            hit = np.bitwise_count(rest ^ at) <= most
+            if hit.any():
+                new, rest = rest[hit], rest[~hit]
+                queue.extend(new)
+                found += [(int(at), x) for x in new.tolist()]
+    return found
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -101,21 +98,21 @@ def links(fps: DataFrame) -> DataFrame:
     keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks()))).alias("c", "part"))
     keyed = keyed.select("fp", F.xxhash64("c", "part").alias("bucket"))
     sizes = anew(keyed.groupBy(F.bitwise_not("bucket").alias("w")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    chunks = F.ceil(F.col("n") / F.greatest(F.lit(CHUNK), F.least(F.lit(FULL_CHUNK), F.col("n") / CHUNKS))).cast("int")
     held = keyed.join(sizes, "bucket").withColumn("k", chunks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     lo, hi = F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")
     paired = held.select("bucket", "fp", "mine", lo, hi).groupBy("bucket", "lo", "hi").agg(
         F.collect_list(F.when(F.col("mine") == F.col("lo"), F.col("fp"))).alias("a"),
         F.collect_list(F.when(F.col("mine") != F.col("lo"), F.col("fp"))).alias("b"),
-    ).select(F.col("lo") == F.col("hi"), "a", "b").toDF("same", "a", "b")
+    ).select("a", "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sides = [(c.values.to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in (batch.column("a"), batch.column("b"))]
         (av, ao), (bv, bo) = sides
         found = []
-        for i, same in enumerate(batch.column("same").to_pylist()):
-            found += spanning_links(av[ao[i] : ao[i + 1]], bv[bo[i] : bo[i + 1]], same)
+        for i in range(batch.num_rows):
+            found += spanning_links(av[ao[i] : ao[i + 1]], bv[bo[i] : bo[i + 1]])
         ends = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["a", "b"])
 

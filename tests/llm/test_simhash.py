@@ -75,7 +75,16 @@ def test_large_group_in_chunks(spark):
 def test_masks_and_spanning():
     assert len(masks()) == 20 and len({m & (2**64 - 1) for m in masks()}) == 20
     a = np.array([0, 1, 3, 2**40 - 1], np.uint64)
-    assert len(spanning_links(a, a[:0], True)) == 2
+    assert len(spanning_links(a, a[:0])) == 2 == len(spanning_links(a[:2], a[2:]))
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        nodes = np.unique(rng.integers(0, 1 << 14, 60).astype(np.uint64))
+        found, at = spanning_links(nodes[::2], nodes[1::2]), nodes.tolist()
+        assert all((x ^ y).bit_count() <= 3 for x, y in found)
+        own, want = {n: n for n in at}, roots(at, lambda x, y: (x ^ y).bit_count() <= 3)
+        for x, y in found * len(found):
+            own[x] = own[y] = min(own[x], own[y])
+        assert own == want and len(found) == len(at) - len(set(want.values()))
 
 
 def test_keep_one_keeps_clean_rows(spark):
