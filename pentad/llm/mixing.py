@@ -24,10 +24,11 @@ well, but leave the source by up to half its longest text beside its target (9 %
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pentad.llm.common import cut
+from pentad.operators.ranking import with_position
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 BLOCK = 64
@@ -41,20 +42,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """source, source_size, target for a table of source and size: one row for each source."""
+    """source, source_size, target for a table of source and size: one row for each source. A level that the weights
+    multiply is raised until what sources over their limit leave is shared by the others; each step is one sum over the
+    sources, which no single task holds."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    whole = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.col("rn") - 1, F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("rn", F.row_number().over(by_name)).withColumn("w", weight)
-    per = per.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("full_at", F.col("cap") / F.col("w"))
-    order = Window.orderBy("full_at", "rn")
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(whole) - before) / after).withColumn("at", F.row_number().over(order))
-    open_ = F.col("full_at") > F.col("level")
-    per = per.withColumn("found", F.min_by(F.when(open_, F.col("level")), F.when(open_, F.col("at"))).over(whole))
-    return per.select("source", "source_size", F.when(F.col("found").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("found") * F.col("w"))).alias("target"))
+    per = with_position(per, [F.col("source").asc_nulls_last()], "rn")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.col("rn"), F.lit(len(weights))) + 1).cast("int"))
+    per = cut(per.select("source", "source_size", weight.alias("w"), (F.col("source_size") * F.lit(float(most))).alias("cap")))
+    words, weighed = per.agg(F.sum("source_size"), F.sum("w")).first()
+    total = float(share) * (words or 0)
+    level = total / weighed if weighed else 0.0
+    while True:
+        full = F.col("cap") <= F.col("w") * level
+        held, open_ = per.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w")))).first()
+        raised = (total - (held or 0.0)) / open_ if open_ else level
+        if raised <= level:
+            break
+        level = raised
+    return per.select("source", "source_size", F.least("cap", F.col("w") * level).alias("target"))
 
 
 def _uniform(*cols: Column) -> Column:
