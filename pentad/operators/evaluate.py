@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,19 @@ def replay_histogram(voted: DataFrame, refs: DataFrame) -> DataFrame:
     return labels.join(voted.agg(*_histogram("fraud", F.col("fraud_count"), NEIGHBOURS + 1)), F.lit(True))
 
 
+def replay(refs: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame], limit: int = 0) -> DataFrame:
+    """The histogram of a replay: the first limit references by ref_id (0: all) ask the whole set, themselves included."""
+    asked = refs.drop("label").withColumnRenamed("ref_id", "query_id")
+    if limit:
+        asked = asked.orderBy("query_id").limit(limit)
+    return replay_histogram(search(asked, refs), refs)
+
+
+def ready(refs: DataFrame) -> bool:
+    """Whether there is a reference to answer by."""
+    return bool(refs.limit(1).count())
+
+
 def confusion(judged: DataFrame) -> DataFrame:
     """One row from expected (count of fraud labels), fraud_count and valid: total, false_positives (expected to be
     approved, denied), false_negatives, mismatches, vectorize_errors, bucket_0..bucket_5. Rows that are not valid count in

@@ -182,6 +182,23 @@ def _stand_in(name: str) -> str:
 
 MARKERS = ("idiot", "worthless", "License", "@", "| ")
 
+
+
+def _summary_table() -> str:
+    names = ("participant", "runs", "min", "median", "max", "latest", "clean")
+    ms = lambda c: f"regexp_replace(printf('%.3f', {c}), '[.]?0+$', '') || 'ms'"
+    cells = ["participant", "count(*)::VARCHAR", ms("min(ms)"), ms("median(ms)"), ms("max(ms)"), ms("arg_max(ms, seq)"), "bool_and(final_score = 6000 AND false_positive_detections = 0 AND false_negative_detections = 0 AND http_errors = 0)::VARCHAR"]
+    rows = ", ".join(f"{c} AS c{i}" for i, c in enumerate(cells))
+    header = ", ".join(f"'{n}'" for n in names)
+    widths = ", ".join(f"max(length(c{i})) AS w{i}" for i in range(len(names)))
+    line = " || '  ' || ".join(f"rpad(c{i}, w{i}::INTEGER, ' ')" for i in range(len(names)))
+    return f"""WITH p AS (SELECT *, regexp_replace(lower(trim(p99)), '\\s*ms$', '')::DOUBLE AS ms FROM {_stand_in('compared')}), t AS (SELECT {rows} FROM p GROUP BY participant),
+        r AS (SELECT row_number() OVER (ORDER BY c0) AS place, * FROM t UNION ALL SELECT 0, {header}), w AS (SELECT {widths} FROM r)
+        SELECT place::BIGINT AS place, rtrim({line}) AS line FROM r CROSS JOIN w"""
+
+
+SUMMARY_TABLE = _summary_table()
+
 SQL = {
     "knn_vote": KNN,
     "knn_certified": KNN,
@@ -202,6 +219,10 @@ SQL = {
     "tx_scores_nested_loop": TX_SCORES,
     "decision_json": f"""WITH {REFS}, {QUERIES}, {_votes()} SELECT query_id, '{{"approved":' || (fraud_count < 3)::VARCHAR || ',"fraud_score":' || (fraud_count / 5.0::DOUBLE)::VARCHAR || '}}' AS response FROM votes""",
     "replay_histogram": f"WITH {REFS}, {QUERIES}, {_votes()} SELECT (SELECT count(*) FROM refs WHERE label = 0) AS label_0, (SELECT count(*) FROM refs WHERE label = 1) AS label_1, " + ", ".join(f"count(*) FILTER (fraud_count = {i}) AS fraud_{i}" for i in range(6)) + " FROM votes",
+    "replay_of_first": f"""WITH {REFS}, queries AS (SELECT ref_id AS query_id, * EXCLUDE (ref_id, label) FROM refs WHERE ref_id IN (SELECT ref_id FROM refs ORDER BY ref_id LIMIT 100)), {_votes()}
+        SELECT (SELECT count(*) FROM refs WHERE label = 0) AS label_0, (SELECT count(*) FROM refs WHERE label = 1) AS label_1, """ + ", ".join(f"count(*) FILTER (fraud_count = {i}) AS fraud_{i}" for i in range(6)) + " FROM votes",
+    "tx_features_loose": f"WITH {TX} SELECT event_id, {COLUMNS}, label, valid FROM tx",
+    "summary_table": SUMMARY_TABLE,
     "confusion": f"""WITH {REFS}, {QUERIES}, {_votes()}, j AS (SELECT *, query_id % 6 AS expected, query_id % 50 <> 0 AS valid FROM votes)
         SELECT count(*) AS total, count(*) FILTER (valid AND expected < 3 AND fraud_count >= 3) AS false_positives, count(*) FILTER (valid AND expected >= 3 AND fraud_count < 3) AS false_negatives,
         count(*) FILTER (valid AND expected <> fraud_count) AS mismatches, count(*) FILTER (NOT valid) AS vectorize_errors, """ + ", ".join(f"count(*) FILTER (valid AND fraud_count = {i}) AS bucket_{i}" for i in range(6)) + " FROM j",

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from pentad.config import DIMS, FEATURES, IndexConfig, SearchConfig
 from pentad.functions import keys
-from pentad.functions.features import mcc_risk
+from pentad.functions.features import mcc_risk, with_features
 from pentad.functions.quantize import reference_value, request_value
-from pentad.functions.score import response
+from pentad.functions.score import format_ms, response
 from pentad.operators import buckets, evaluate, index, knn, ranking, runs, text
 from pentad.plans import oracles
 from pentad.plans.tables import EVENT_MCC, references, table, transaction_features, transactions
@@ -151,8 +151,24 @@ def decision_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, refs = _sides(spark, sf_dir)
-    return evaluate.replay_histogram(knn.certified(queries, refs), refs)
+    return evaluate.replay(_sides(spark, sf_dir)[1], knn.certified)
+
+
+def replay_of_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay with a row limit."""
+    return evaluate.replay(_sides(spark, sf_dir)[1], knn.flat, limit=100)
+
+
+def summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The participant summary as lines of text."""
+    rows = participant_summary(spark, sf_dir)
+    return text.aligned_table(rows.select("participant", "runs", *(format_ms(F.col(c)).alias(c) for c in ("min", "median", "max", "latest")), "clean"), ["participant"])
+
+
+def tx_features_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tx_features with the known-merchant test on the list's text."""
+    rows = with_features(transactions(table(spark, sf_dir, "events")), strict=False)
+    return _wide(rows.select("event_id", *FEATURES, "label", "valid"))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +309,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         knn_vote, knn_certified, knn_ivf, knn_ivf_all_lists, knn_kmeans_all_lists, knn_ivf_staged, search_counters, stream_votes, tx_features, tx_scores,
-        tx_scores_nested_loop, decision_json, replay_histogram, confusion, mismatch_sample, vector_keys, partition_summary, list_summary, kmeans_lists,
+        tx_scores_nested_loop, decision_json, replay_histogram, replay_of_first, summary_table, tx_features_loose, confusion, mismatch_sample, vector_keys, partition_summary, list_summary, kmeans_lists,
         profile_buckets, quantile_edges, shortcut_votes, purity_votes, quantisers, mcc_lookup, marker_scan, score_law, run_summary, participant_summary, lower_median,
         references_json, golden_check, representative_run, archive_rows, clean_candidates, latest_by_kind, paging, head_to_head, promotion_gate, http_requests,
     )

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pentad.config import DIMS, FEATURES, IndexConfig, SearchConfig
-from pentad.operators import index, knn
+from pentad.operators import evaluate, index, knn
 from pentad.plans import queries as library
 from pentad.plans.tables import transaction_features
 from tests.data import queries, refs, vector
@@ -156,3 +156,11 @@ def test_every_event_is_scored(spark):
         if r.valid:
             near = np.lexsort((np.array([q.event_id for q in rows]), ((x - x[i]) ** 2).sum(1)))[:5]
             assert got[r.event_id] == sum(rows[j].label for j in near), r.event_id
+
+
+def test_replay_limit_and_readiness(spark):
+    table = refs(spark, [(i, int(i > 6)) for i in range(12)])
+    assert evaluate.ready(table) and not evaluate.ready(table.limit(0))
+    got = evaluate.replay(table, knn.flat, limit=3).first()
+    assert (got.label_0, got.label_1, got.fraud_0, sum(got[f"fraud_{i}"] for i in range(6))) == (7, 5, 3, 3)
+    assert sum(evaluate.replay(table, knn.flat).first()[f"fraud_{i}"] for i in range(6)) == 12
