@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,12 @@ from pentad.storage import cut, drop, shared_dir, tables_dir
 # Functions sent to executors carry their code, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(pentad)
 
-__all__ = ["LOWER", "blobs", "cut", "drop", "finite_vector", "lower_az", "main_dimension", "map_batches", "matrix", "shared_dir", "table", "tables_dir", "text_bytes", "worker_cache"]
+__all__ = ["LOWER", "blobs", "cut", "drop", "finite_vector", "lower_az", "main_dimension", "map_batches", "matrix", "parts", "shared_dir", "table", "tables_dir", "text_bytes", "worker_cache"]
 
 #: Maps the bytes of UTF-8 text so that A-Z become a-z; all other bytes stay.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Rows that a Python worker takes from an Arrow batch at a time.
+SLICE = 1024
 #: Spark SQL arguments of translate() for the same mapping.
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,13 +77,23 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_pentad_worker", types.ModuleType("_pentad_worker")).__dict__
 
 
+def parts(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that a worker holds little at a time; empty ones are skipped. At the end, what
+    the worker has freed goes back to the system, which other workers on the machine may need."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Applies f to each Arrow batch; batches without rows are skipped."""
+    """Applies f to parts of the Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield f(b)
+        yield from map(f, parts(batches))
 
     return df.mapInArrow(run, schema)
 

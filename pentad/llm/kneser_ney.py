@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pentad.llm.common import LOWER, cut, shared_dir, text_bytes
+from pentad.llm.common import LOWER, cut, parts, shared_dir, text_bytes
 
 FLUSH, LEAST_SPREAD = 1_500_000, 16
 #: Bytes of text for each bucket of pairs, and the least number of buckets; as many hold words.
@@ -134,7 +134,7 @@ def build(docs: DataFrame, folder: str, buckets: int, word_buckets: int) -> dict
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], ["bucket", "v", "runs", "w", "n"])
 
         texts, held = [], 0
-        for b in batches:
+        for b in parts(batches):
             for body in b.column("body").to_pylist():
                 texts.append(token_hashes(body))
                 held += len(texts[-1])
@@ -317,7 +317,7 @@ def _scores(bodies: DataFrame, folder: str, buckets: int, word_buckets: int, kno
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
 
         keys, texts, held = [], [], 0
-        for b in batches:
+        for b in parts(batches):
             for key, body in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist(), strict=True):
                 keys.append(key)
                 texts.append(token_hashes(body))

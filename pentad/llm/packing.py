@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pentad.llm.common import LOWER, cut, text_bytes, worker_cache
+from pentad.llm.common import LOWER, cut, parts, text_bytes, worker_cache
 
 WINDOW, END, SHARD = 4096, 2, 1_500_000
 K1, B = 1.2, 0.75
-CACHE = 700_000
+CACHE = 500_000
 #: Marks that the tokenizer takes as one pre-token when they follow each other.
 MARKS = b".,;:!?()[]{}\"*#%&|-_/+=~"
 
@@ -114,10 +114,9 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for b in batches:
-            for part in (b.slice(i, 1024) for i in range(0, b.num_rows, 1024)):
-                ids = [x.tobytes() + close for x in encode(part.column("body").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        for b in parts(batches):
+            ids = [x.tobytes() + close for x in encode(b.column("body").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return text_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
@@ -127,7 +126,7 @@ def document_frequencies(ids: DataFrame) -> tuple[dict[int, int], int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs, tokens = np.zeros(65536, np.int64), 0, 0
-        for b in batches:
+        for b in parts(batches):
             for x in b.column("ids").to_pylist():
                 x = np.frombuffer(x, "<u2")
                 df[np.unique(x)] += 1
@@ -252,7 +251,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, keys, texts, held = TaskContext.get().partitionId() << 40, [], [], 0
-        for b in batches:
+        for b in parts(batches):
             for key, body in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 keys.append(key)
                 texts.append(np.frombuffer(body, "<u2"))

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pentad.llm.common import LOWER, cut, text_bytes
+from pentad.llm.common import LOWER, cut, parts, text_bytes
 
 TOXIC_DOCS, ORDINARY_DOCS = 2500, 7500
 TOXIC_PIECES, ORDINARY_PIECES = 80_000, 160_000
@@ -182,7 +182,7 @@ def learning_pieces(texts: DataFrame) -> DataFrame:
     texts are left out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             for toxic, body, kept in zip(*(b.column(c).to_pylist() for c in ("toxic", "body", "kept")), strict=True):
                 own = sorted(set(pieces(body)))
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([toxic] * len(own), pa.int32()), pa.array([kept] * len(own), pa.bool_())], ["piece", "toxic", "kept"])
@@ -201,7 +201,7 @@ def odd_windows(lots: DataFrame, n: int, ordinary: bytes, toxic: list[bytes]) ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains = [Gains(ordinary, t) for t in toxic]
-        for b in batches:
+        for b in parts(batches, 1 << 14):
             found, usual = [], Counter()
             for piece, y, half in zip(*(b.column(c).to_pylist() for c in ("piece", "toxic", "half")), strict=True):
                 if y == 1 or half == 1 and zlib.crc32(piece) % GAUGE == 0:
@@ -249,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains = Gains(ordinary, toxic, runs)
-        for b in batches:
+        for b in parts(batches):
             x = [gains.features(t) for t in b.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
@@ -270,13 +270,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains = Gains(*model["pair"]) if "pair" in model else None
-        for b in batches:
+        for b in parts(batches):
             if gains is None:
                 scores = np.full(b.num_rows, model["share"])
-            elif b.num_rows:
-                scores = probability(model, [gains.features(t) for t in b.column("body").to_pylist()])
             else:
-                continue
+                scores = probability(model, [gains.features(t) for t in b.column("body").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     scored = text_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
@@ -292,9 +290,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains = Gains(*model["pair"])
-        for b in batches:
-            if b.num_rows:
-                bodies = b.column(at).cast(pa.binary()).to_pylist()
-                yield b.filter(pa.array(probability(model, [gains.features(t or b"") for t in bodies]) < threshold))
+        for b in parts(batches):
+            bodies = b.column(at).cast(pa.binary()).to_pylist()
+            yield b.filter(pa.array(probability(model, [gains.features(t or b"") for t in bodies]) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
