@@ -113,15 +113,31 @@ def certified(queries: DataFrame, refs: DataFrame, config: IndexConfig = IndexCo
 
 
 def tree_search(queries: DataFrame, placed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Exact: a query goes down the tree to its nearest leaf, whose fifth distance bounds the search; then from the roots
-    to all leaves whose boxes are not farther. A box at the bound itself counts, since a tie goes to the smaller ref_id.
-    Every level is a join of the queries' nodes with their children."""
+    """Exact: a query goes down the tree to its nearest unit, a node of REF_BLOCK references at most, whose fifth distance
+    bounds the search; then from the roots to all units whose boxes are not farther. A box at the bound itself counts,
+    since a tie goes to the smaller ref_id. Every level is a join of the queries' nodes with their children; references of
+    a unit are searched as one matrix, which is faster than to ask for each of its leaves."""
     asked = cut(known(queries.select("query_id", *FEATURES)))
     n, deepest = asked.count(), nodes.agg(F.max("level")).first()[0]
     if deepest is None:
         return answered(queries, votes(top(nearest_in(asked.withColumn("node", F.lit(0)), placed, "node", n))))
     box = [*(f"lo{i}" for i in range(DIMS)), *(f"hi{i}" for i in range(DIMS))]
-    levels = [nodes.where(F.col("level") == k).select("node", "parent", "leaf", *box) for k in range(deepest + 1)]
+    stops = F.col("leaf") | (F.col("n") <= REF_BLOCK)
+    levels = [nodes.where(F.col("level") == k).select("node", "parent", "leaf", stops.alias("stop"), *box) for k in range(deepest + 1)]
+    units, up = [], None
+    for level in levels:
+        own = F.when(F.col("stop"), F.col("node"))
+        if up is None:
+            up = level.select("node", "leaf", own.alias("unit"))
+        else:
+            above = up.where("NOT leaf").select(F.col("node").alias("parent"), F.col("unit").alias("_up"))
+            up = level.join(above, "parent").select("node", "leaf", F.coalesce("_up", own).alias("unit"))
+        units.append(up.where("leaf").select(F.col("node").alias("_leaf"), "unit"))
+    held = units[0]
+    for more in units[1:]:
+        held = held.unionByName(more)
+    placed = cut(placed.join(held, F.col("node") == F.col("_leaf")).select("ref_id", *FEATURES, "label", F.col("unit").alias("node")))
+    levels = [level.drop("leaf").withColumnRenamed("stop", "leaf") for level in levels]
 
     def below(at: DataFrame, level: int) -> DataFrame:
         """The children, with their distances, of the nodes in at; of all roots (256 at most) on level 0."""
