@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,23 @@ def test_replay_limit_and_readiness(spark):
     got = evaluate.replay(table, knn.flat, limit=3).first()
     assert (got.label_0, got.label_1, got.fraud_0, sum(got[f"fraud_{i}"] for i in range(6))) == (7, 5, 3, 3)
     assert sum(evaluate.replay(table, knn.flat).first()[f"fraud_{i}"] for i in range(6)) == 12
+
+
+def test_blocks_are_searched_by_leaves():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 5, (3000, len(FEATURES))).astype(np.int16) * 100
+    x[500:2000] = x[500]  # more equal rows than a leaf holds
+    x[2000:] = rng.integers(0, 10000, (1000, len(FEATURES)))
+    ids, labels, limit = rng.permutation(3000), rng.integers(0, 2, 3000).astype(np.int32), np.where(np.arange(3000) % 3 == 0, 10**5, 1 << 62)
+    columns = {f: x[:, i] for i, f in enumerate(FEATURES)}
+    got = {}
+    found = knn._near_block(pa.table({"query_id": np.arange(3000), **columns, "limit": limit}), pa.table({"ref_id": ids, **columns, "label": labels}))
+    for r in found.to_pylist():
+        got.setdefault(r["query_id"], []).append((r["dist"], r["ref_id"], r["label"]))
+    wide = x.astype(np.int64)
+    for i in range(0, 3000, 7):
+        d = ((wide - wide[i]) ** 2).sum(1)
+        near = [j for j in np.lexsort((ids, d))[:5] if d[j] <= limit[i]]
+        assert sorted(got.get(i, [])) == [(d[j], ids[j], labels[j]) for j in near]
+    assert max(map(len, knn._leaves(x, 64, True))) <= 64 and sum(map(len, knn._leaves(x, 64, True))) < 1700
+    assert sorted(np.concatenate(knn._leaves(x, 64, False)).tolist()) == list(range(3000))
