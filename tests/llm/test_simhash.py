@@ -4,6 +4,7 @@ import re
 import numpy as np
 import xxhash
 
+from pentad.llm import near_copies
 from pentad.llm.simhash import keep_one, links, masks, simhash_groups, spanning_links
 from tests.llm.brute import no_docs, odd_docs
 
@@ -131,3 +132,24 @@ def test_keep_one_carries_columns_of_any_name(spark):
     got = keep_one(docs)
     assert got.columns == docs.columns and len(got.collect()) == 5
     assert keep_one(no_docs(spark)).count() == 0
+
+
+def test_simhash_decides_long_pairs_and_leaves_close_ones_to_sets(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base)]
+    for edits in (1, 2, 8, 9, 10, 60):
+        copy = list(base)
+        for at in rng.sample(range(400), edits):
+            copy[at] = f"x{edits}y{at}"
+        texts.append(" ".join(copy))
+    held = [near_copies.shingles(t.encode(), 5) for t in texts]
+    docs = spark.createDataFrame([(near_copies.number(h), t.encode()) for h, t in zip(held, texts, strict=True)], "node long, body binary")
+    ids = [near_copies.number(h) for h in held]
+    pairs = spark.createDataFrame([(ids[0], i) for i in ids[1:]], "a long, b long")
+    sketches = near_copies.sketches_of(docs, docs.select("node"), 5)
+    assert {len(r.sketch) for r in sketches.collect()} == {128}
+    got = {r.b for r in near_copies.decided(pairs, sketches, docs, 0.8, 5).collect()}
+    assert got == {i for i, h in zip(ids[1:], held[1:], strict=True) if near_copies.alike(held[0], h, 0.8)}
+    nodes = spark.createDataFrame([(1, 0), (2, 0), (3, 7), (4, -1)], "node long, fp long")
+    assert {(r.a, r.b) for r in near_copies.simhash_pairs(nodes).collect()} == {(1, 2), (1, 3)}
