@@ -31,12 +31,13 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pentad.llm.common import LOWER, cut, parts, text_bytes
+from pentad.llm.common import LOWER, cut, parts, release, text_bytes
 
 TOXIC_DOCS, ORDINARY_DOCS = 2500, 7500
 TOXIC_PIECES, ORDINARY_PIECES = 80_000, 160_000
@@ -214,18 +215,17 @@ def odd_windows(lots: DataFrame, n: int, ordinary: bytes, toxic: list[bytes]) ->
             found += [(g, None, k, None) for g, k in usual.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)] if found else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.binary())], ["gain", "half", "n", "w"])
 
-    rows = lots.mapInArrow(run, "gain int, half int, n long, w binary").collect()
-    usual = Counter()
-    for r in rows:
-        if r["w"] is None:
-            usual[r["gain"]] += r["n"]
+    rows = lots.mapInArrow(run, "gain int, half int, n long, w binary")
+    told = cut(rows)  # priced once; the driver takes the windows that count, as Arrow
+    usual = Counter({r["gain"]: r["n"] for r in told.where("w IS NULL").groupBy("gain").agg(F.sum("n").alias("n")).collect()})
     least, over, room = 1, 0, ODD * sum(usual.values())
     for g in sorted(usual, reverse=True):
         over += usual[g]
         if over > room:
             least = max(1, g + 1)
             break
-    return [[bytes(r["w"]) for r in rows if r["half"] == half and r["gain"] >= least] for half in (0, 1)]
+    odd = told.where(F.col("w").isNotNull() & (F.col("gain") >= least)).select("half", "w").toArrow()
+    return [sorted(odd.filter(pc.equal(odd["half"], half))["w"].to_pylist(), key=lambda w: (zlib.crc32(w), w)) for half in (0, 1)]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
@@ -238,12 +238,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         texts = texts.withColumn("kept", F.lit(False))
     apart = "kept" if not any(numbers.get((y, k), 0) < 2 for y in (0, 1) for k in (False, True)) else "true"
     lots = cut(learning_pieces(texts).repartition(docs.sparkSession.sparkContext.defaultParallelism * 2))
-    rows = sorted((r["toxic"], r["half"], bytes(r["piece"]).split()) for r in lots.collect())
-    ordinary = dictionary([w for y, half, p in rows if y == 0 and half == 0 for w in windows(p, 8)], ORDINARY_BYTES)
-    odd = [[w for y, half, p in rows if y == 1 and half == k for w in windows(p, ROUNDS[0][0])] for k in (0, 1)]
+
+    def of(toxic: int, half: int, n: int) -> list[bytes]:
+        """The windows of one kind's pieces, in a fixed order; one kind at a time is held."""
+        held = lots.where((F.col("toxic") == toxic) & (F.col("half") == half)).select("piece").toArrow()["piece"]
+        return [w for p in sorted(held.to_pylist(), key=bytes.split) for w in windows(p.split(), n)]
+
+    ordinary = dictionary(of(0, 0, 8), ORDINARY_BYTES)
+    odd = [of(1, k, ROUNDS[0][0]) for k in (0, 1)]
     for n, size in ROUNDS:
         odd = odd_windows(lots, n, ordinary, [dictionary(side, size) for side in odd])
     toxic = dictionary(odd[0] + odd[1], ROUNDS[-1][1])
+    del odd
+    release()
 
     runs = novel(ordinary, toxic)
 
