@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pentad.llm.common import LOWER, cut, map_batches, text_bytes
-from pentad.llm.graph import anew, components
+from pentad.llm.graph import anew, components, parted
 from pentad.llm.near_copies import representatives
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -139,5 +139,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     names = ["no_id", "id", "t"]
     key = [F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col), F.lit(0)).alias("id"), F.xxhash64(F.col(text_col)).alias("t")]
     kept = representatives(docs, key, width, similarity, text_col).select("least.*")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key).dropDuplicates(names)
-    return rows.join(kept, names, "left_semi").select("row.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key)
+    # rows that stay and are not repeated pass by; the others, and few more, are told apart by joins
+    stays = kept.withColumn("stays", F.lit(True))
+    numbers = rows.groupBy(*(F.col(c) for c in names)).agg(F.count(F.lit(1)).alias("m")).join(stays, names, "left")
+    hashed = F.xxhash64(*names).alias("key")
+    some, others = parted(rows.withColumn("key", hashed), "key", numbers.where("m > 1 OR stays IS NULL").select(hashed))
+    return others.select("row.*").union(some.dropDuplicates(names).join(kept, names, "left_semi").select("row.*"))
