@@ -10,13 +10,14 @@ from pentad.llm.graph import parted
 from pentad.llm.line_dedup import deduplicate
 from pentad.llm.simhash import keep_one
 from pentad.storage import cut
+from tests.llm.test_pipeline import near_copies_gone
 
 
 def test_a_family_of_texts_below_the_limit_makes_no_row_for_each_pair(spark, monkeypatch):
     rng, family = random.Random(5), 80
     base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
     texts = []
-    for k in range(family):  # any two have a similarity of about 0.74
+    for k in range(family):  # most pairs have a similarity of about 0.74
         copy = list(base)
         for at in rng.sample(range(5, 395), 6):
             copy[at] = f"x{k}y{at}"
@@ -31,8 +32,10 @@ def test_a_family_of_texts_below_the_limit_makes_no_row_for_each_pair(spark, mon
         return out
 
     monkeypatch.setattr(near_copies, "cut", counted)
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert sorted(r.doc_id for r in keep_one(docs).collect()) == list(range(family))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = near_copies_gone(rows)
+    assert len(want) > 0.9 * family and family not in want
+    assert {r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
     assert max(written) <= 10 * family < family * (family - 1) / 2
 
 
