@@ -39,6 +39,34 @@ def test_a_family_of_texts_below_the_limit_makes_no_row_for_each_pair(spark, mon
     assert max(written) <= 10 * family < family * (family - 1) / 2
 
 
+def test_short_texts_that_share_a_passage_make_no_family(spark, monkeypatch):
+    rng, tied = random.Random(6), []
+    shared = [f"s{i}" for i in range(44)]
+    texts = [[f"a{i}", f"b{i}", f"c{i}", *shared, f"x{i}", f"y{i}", f"z{i}"] for i in range(90)]  # all pairs: about 0.77
+    texts += [[*t[:-1], "end"] for t in texts[40:43]] + [[*texts[7], *(f"v{rng.randrange(10**6)}" for _ in range(40))]]
+    monkeypatch.setattr(near_copies, "COMMON", 0)  # as where a sample does not show what is common
+    links_within = near_copies.links_within
+
+    def counted(families, *rest):
+        tied.append(families.count())
+        return links_within(families, *rest)
+
+    monkeypatch.setattr(near_copies, "links_within", counted)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = near_copies_gone(rows)
+    assert {7, 40, 41, 42, 93} <= want and len(want) == 91
+    assert {r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    assert sum(tied) <= 10
+
+
+def test_shared_counts_what_sets_have_in_common(monkeypatch):
+    monkeypatch.setattr(near_copies, "COLUMNS", 7)
+    rng = random.Random(7)
+    sets = [near_copies.np.array(sorted(rng.sample(range(60), rng.randrange(1, 30))), "int64") for _ in range(25)]
+    got = near_copies.shared(sets[:10], sets[10:])
+    assert [[len(set(a) & set(b)) for b in sets[10:]] for a in sets[:10]] == got.tolist()
+
+
 def test_parted_keeps_every_wanted_row_and_few_others(spark):
     df = spark.range(20_000).withColumn("k", F.when(F.col("id") % 100 != 3, F.col("id") * 7919))
     some, others = parted(df, "k", spark.range(0, 700_000, 7919).toDF("k"))
