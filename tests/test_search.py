@@ -185,3 +185,28 @@ def test_blocks_are_searched_by_leaves():
         assert sorted(got.get(i, [])) == [(d[j], ids[j], labels[j]) for j in near]
     assert max(map(len, knn._leaves(x, 64, True))) <= 64 and sum(map(len, knn._leaves(x, 64, True))) < 1700
     assert sorted(np.concatenate(knn._leaves(x, 64, False)).tolist()) == list(range(3000))
+
+
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    rng, asked = random.Random(9), []
+    points = [[rng.randrange(0, 4000, 500) for _ in range(DIMS)] for _ in range(30)]
+    rows = [(p, rng.randrange(2)) for k, p in enumerate(points) for _ in range((1, 3, 5, 9)[k % 4])]
+    rng.shuffle(rows)
+    vectors = [p for p in points for _ in range(4)] + [vector(f3=7)] * 3 + [[None] * DIMS]
+    nearest_in = knn.nearest_in
+
+    def counted(probes, *rest):
+        asked.append(probes.select("query_id").distinct().count())
+        return nearest_in(probes, *rest)
+
+    monkeypatch.setattr(knn, "nearest_in", counted)
+
+    def plain(v):
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, r, strict=True)), i, label) for i, (r, label) in enumerate(rows))[:5]
+        return sum(label for _, _, label in near), near[-1][0]
+
+    for search in (knn.flat, knn.certified):
+        got = {r.query_id: (r.fraud_count, r.worst) for r in search(queries(spark, vectors), refs(spark, rows)).collect()}
+        assert got == {i: (0, None) if v[0] is None else plain(v) for i, v in enumerate(vectors)}
+    open_ = sum(k % 4 < 2 for k in range(len(points))) + 1  # those of which five references are not equal
+    assert asked == [open_, open_]
