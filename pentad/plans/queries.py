@@ -124,7 +124,7 @@ def golden_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     path = f"{tables_dir(spark)}/expected-{uuid.uuid4().hex}"
     events.select(F.concat((F.col("event_id") % 6).cast("string"), F.lit("\t"), body)).write.text(path)
-    refs = transaction_features(table(spark, sf_dir, "events")).withColumnRenamed("event_id", "ref_id")
+    refs = cut(with_features(events, strict=True).select(F.col("event_id").alias("ref_id"), *FEATURES, "label"))
     return evaluate.confusion(check_answers(expected_answers(spark, path), refs, strict=True))
 
 

@@ -22,9 +22,10 @@ from pentad.storage import cut
 def score_requests(lines: DataFrame, refs: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame] = knn.certified, strict: bool = False) -> DataFrame:
     """query_id, valid, fraud_count, worst, fraud_score, approved for lines of query_id and value (JSON). Requests that
     cannot be read have no fraud votes, so they are approved."""
-    parsed = with_features(requests(lines), strict, F.col("has_last")).select("query_id", "valid", *FEATURES)
+    parsed = cut(with_features(requests(lines), strict, F.col("has_last")).select("query_id", "valid", *FEATURES))
     found = search(parsed.where("valid").select("query_id", *FEATURES), refs).select("query_id", "fraud_count", "worst")
-    return knn.decisions(knn.answered(parsed, found)).join(parsed.select("query_id", "valid"), "query_id")
+    voted = parsed.select("query_id", "valid").join(found, "query_id", "left").withColumn("fraud_count", F.coalesce("fraud_count", F.lit(0).cast("bigint")))
+    return knn.decisions(voted.select("query_id", "fraud_count", "worst", "valid")).select("query_id", "fraud_count", "worst", "fraud_score", "approved", "valid")
 
 
 def check_answers(answers: DataFrame, refs: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame] = knn.certified, strict: bool = False) -> DataFrame:

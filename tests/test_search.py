@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pentad.config import DIMS, FEATURES, IndexConfig, SearchConfig
 from pentad.operators import evaluate, index, knn
 from pentad.plans import queries as library
+from pentad.plans import tables
 from pentad.plans.tables import transaction_features
 from tests.data import queries, refs, vector
 
@@ -210,3 +211,16 @@ def test_equal_queries_are_searched_once(spark, monkeypatch):
         assert got == {i: (0, None) if v[0] is None else plain(v) for i, v in enumerate(vectors)}
     open_ = sum(k % 4 < 2 for k in range(len(points))) + 1  # those of which five references are not equal
     assert asked == [open_, open_]
+
+
+def test_golden_check_builds_the_requests_once(spark, monkeypatch):
+    made = []
+    for where in (library, tables):
+
+        def counted(events, transactions=where.transactions):
+            made.append(1)
+            return transactions(events)
+
+        monkeypatch.setattr(where, "transactions", counted)
+    got = library.golden_check(spark, "/root/testdata/sf0.001").first()
+    assert len(made) == 1 and got["total"] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
